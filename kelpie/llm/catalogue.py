@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules
+from . import chat_format, host_rules, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op3_host_rules": host_rules.op3_host_rules,
+    "op7_token_counts": token_counts.op7_token_counts,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
