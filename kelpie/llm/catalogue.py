@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, host_rules, packing, token_counts
+from . import chat_format, decontaminate, host_rules, line_dedup, packing, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op3_host_rules": host_rules.op3_host_rules,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
