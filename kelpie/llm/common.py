@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Spark drops the shuffle files behind a plan when the driver's JVM finds it unused, so that is asked for here.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kelpie-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
