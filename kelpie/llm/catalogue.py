@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, host_rules, line_dedup, packing, suffix_dedup, token_counts
+from . import chat_format, decontaminate, host_rules, line_dedup, near_dedup, packing, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
