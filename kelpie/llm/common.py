@@ -41,19 +41,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+_PATHS: dict[int, str] = {}
+
+
+def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Spark drops the shuffle files behind a plan when the driver's JVM finds it unused, so that is asked for here.
+    Spark drops the shuffle files behind a plan when the driver finds it unused, so that is asked for here: pass the plan
+    without keeping a name for it.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/kelpie-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
+    del df
     atexit.register(_remove, spark, path)
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what staged() wrote for df; nothing that reads it may run afterwards."""
+    path = _PATHS.pop(id(df), None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def training_fold(doc_id: str = "doc_id", mod: int = 5):

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices, staged, table, text_buffer
+from .common import Rolling, mix, release, slices, staged, table, text_buffer
 
 LENGTH = 100
-K = 40
+K = 24
 SHARD_BYTES = 1 << 20
 
 
@@ -50,18 +50,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     if len(data) < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
-    at = np.arange(len(data) - k + 1)
-    h = Rolling(data).of(at, at + k)
+    rolling = Rolling(data)
+    h = (rolling.sums[k:] - rolling.sums[:-k]) * rolling.inverse[: len(data) - k + 1]
     low = np.uint64((1 << 28) - 1)  # the place in the buffer stands in for the hash's low bits: the first smallest wins
-    chosen = (_sliding((h & ~low) | at.astype(np.uint64), w, np.minimum) & low).astype(np.int64)
-    start = np.arange(len(chosen))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(chosen)]
-    start = np.flatnonzero(start + length <= offsets[row + 1])  # windows do not cross a text's end
-    chosen, row = chosen[start], row[start]
-    first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])]) if len(start) else start
-    last = np.r_[first[1:], len(start)] - 1 if len(start) else first
-    row = row[first]
-    return row, start[first] - offsets[row], start[last] - offsets[row], h[chosen[first]]
+    chosen = _sliding((h & ~low) | np.arange(len(h), dtype=np.uint64), w, np.minimum) & low
+    edge = np.zeros(len(data) + 1, np.int32)  # windows do not cross a text's end
+    np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
+    np.add.at(edge, offsets[1:], -1)
+    open_ = np.cumsum(edge[: len(chosen)]) == 0
+    new = np.r_[True, (chosen[1:] != chosen[:-1]) | ~open_[:-1]]
+    first = np.flatnonzero(new & open_)
+    stop = np.flatnonzero(np.r_[(new | ~open_)[1:], True] & open_)
+    row = np.searchsorted(offsets, first, "right") - 1
+    return row, first - offsets[row], stop - offsets[row], mix(h[chosen[first].astype(np.int64)])
 
 
 def suffix_array(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -222,22 +223,27 @@ def shard_spans(group: list[tuple[int, int, int, bytes]], length: int = LENGTH,
     return spans
 
 
+def _repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """doc_id, first, last, anchor of the anchor occurrences whose anchor occurs again."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 18):
+            row, first, last, h = anchors(*text_buffer(b.column("text")), length, k)
+            yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "anchor"])
+
+    found = staged(docs.mapInArrow(scan, "doc_id long, first int, last int, anchor long"))
+    out = staged(found.join(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchor", "left_semi"))
+    release(found)
+    return out
+
+
 SPAN = "key long, doc_id long, start int, stop int, bytes binary"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id and spans array<struct<start, stop>>: the byte ranges, unordered and overlapping, that stand earlier too."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = ("doc_id", "first", "last", "anchor")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            row, first, last, h = anchors(*text_buffer(b.column("text")), length, k)
-            yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ids)
-
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(scan, "doc_id long, first int, last int, anchor long")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    kept = staged(found.join(again, "anchor", "left_semi"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= length)
+    kept = _repeated_anchors(docs, length, k)
     by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +266,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "doc_id", "start", "stop", "bytes"])
 
-    contexts = docs.join(by_doc, "doc_id").mapInArrow(cut, SPAN).repartition("key").sortWithinPartitions("key")
+    contexts = docs.join(by_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(cut, SPAN).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, int, bytes]] = []
