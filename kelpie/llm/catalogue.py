@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, host_rules, line_dedup, near_dedup, packing, quality_classifier, suffix_dedup, token_counts
+from . import chat_format, decontaminate, host_rules, line_dedup, near_dedup, packing, pitman_yor, quality_classifier, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_line_dedup": line_dedup.op5_line_dedup,
