@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, slices, staged, table, text_buffer, words
+from .common import Rolling, mix, release, slices, staged, table, text_buffer, words
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
 LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, halves array<long>"
-NEIGHBOUR_SCHEMA = "v1 long, v2 long, place int, k1 long, k2 long, doc_id long, line int"
+NEIGHBOUR_SCHEMA = "v1 long, v2 long, place int, doc_id long, line int"
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
 
 
@@ -123,7 +123,7 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
             k = [h.whole(i, every) for i in (0, 1)]
             v = [np.r_[k[i], h.without(i, line, place)] for i in (0, 1)]
             row = pa.array(h.row[all_lines])
-            yield pa.record_batch([_long(v[0]), _long(v[1]), pa.array(places.astype(np.int32)), _long(k[0][all_lines]), _long(k[1][all_lines]), b.column("doc_id").take(row), b.column("line").take(row)], ["v1", "v2", "place", "k1", "k2", "doc_id", "line"])
+            yield pa.record_batch([_long(v[0]), _long(v[1]), pa.array(places.astype(np.int32)), b.column("doc_id").take(row), b.column("line").take(row)], ["v1", "v2", "place", "doc_id", "line"])
 
     return lines.select("doc_id", "line", "text").mapInArrow(run, NEIGHBOUR_SCHEMA)
 
@@ -141,45 +141,69 @@ def within_one_edit(a: list, b: list) -> bool:
     return max(len(a), len(b)) - i - j <= 1
 
 
-def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """k1, k2 of the lines within one edit of an earlier line. lines: a stored table as line_keys makes it."""
+def _suspects(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, line and text of the first of each of the lines that share a half with another text."""
     halves = lines.select("k1", "k2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
     suspects = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
     firsts = lines.where(F.size("halves") > 0).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(suspects, ["k1", "k2"], "left_semi")
     wanted = firsts.groupBy("first.doc_id").agg(F.collect_set("first.line").alias("lines"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    texts = staged(texts.select("doc_id", F.explode("lines").alias("line"), F.split("text", "\n").alias("all")).select("doc_id", "line", F.get("all", F.col("line")).alias("text")))
-    near = staged(neighbourhoods(texts))
+    return texts.select("doc_id", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc_id", "line", F.get("all", F.col("line")).alias("text"))
+
+
+def _links(near: DataFrame) -> DataFrame:
+    """me and early, two places each: the earliest line whose neighbourhood meets that of a later line."""
     me = F.struct("doc_id", "line")
     by_place = near.groupBy("v1", "v2", "place").agg(F.min(me).alias("early"), F.max(me).alias("late"))
-    replaced = near.where("place >= 0").join(by_place.where("place >= 0 and early <> late").drop("late"), ["v1", "v2", "place"]).where(me > F.col("early")).select("k1", "k2", me.alias("me"), "early")
+    replaced = near.where("place >= 0").join(by_place.where("place >= 0 and early <> late").drop("late"), ["v1", "v2", "place"]).where(me > F.col("early")).select(me.alias("me"), "early")
     whole = by_place.where("place = -1").select("v1", "v2", F.col("early").alias("short"))
     longer = near.where("place >= 0").join(whole, ["v1", "v2"])
-    inserted = longer.where(me > F.col("short")).select("k1", "k2", me.alias("me"), F.col("short").alias("early"))
-    deleted = longer.where(me < F.col("short")).groupBy("v1", "v2").agg(F.min(me).alias("early"), F.min("short").alias("me")).select(F.col("v1").alias("k1"), F.col("v2").alias("k2"), "me", "early")
-    links = replaced.unionByName(inserted).unionByName(deleted).groupBy("k1", "k2").agg(F.min("me").alias("me"), F.min("early").alias("early"))
-    a = texts.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("text").alias("mine"))
-    b = texts.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("text").alias("theirs"))
-    pairs = links.select("k1", "k2", F.col("me.doc_id").alias("d"), F.col("me.line").alias("l"), "early").join(a, ["d", "l"])
-    pairs = pairs.select("k1", "k2", "mine", F.col("early.doc_id").alias("d"), F.col("early.line").alias("l")).join(b, ["d", "l"])
+    inserted = longer.where(me > F.col("short")).select(me.alias("me"), F.col("short").alias("early"))
+    deleted = longer.where(me < F.col("short")).select(F.col("short").alias("me"), me.alias("early"))
+    return replaced.unionByName(inserted).unionByName(deleted).groupBy("me").agg(F.min("early").alias("early"))
+
+
+def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id and line of the later lines that are within one edit of their earlier one."""
+    mine = texts.select(F.struct("doc_id", "line").alias("me"), F.col("text").alias("mine"))
+    theirs = texts.select(F.struct("doc_id", "line").alias("early"), F.col("text").alias("theirs"))
+    pairs = links.join(mine, "me").join(theirs, "early").select("me.doc_id", "me.line", "mine", "theirs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = lambda t: t.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ")
         for x in batches:
             rows = zip(x.column("mine").cast(pa.binary()).to_pylist(), x.column("theirs").cast(pa.binary()).to_pylist(), strict=True)
-            yield x.select(["k1", "k2"]).filter(pa.array([within_one_edit([w for w in split(m) if w], [w for w in split(t) if w]) for m, t in rows], pa.bool_()))
+            yield x.select(["doc_id", "line"]).filter(pa.array([within_one_edit([w for w in split(m) if w], [w for w in split(t) if w]) for m, t in rows], pa.bool_()))
 
-    return pairs.select("k1", "k2", "mine", "theirs").mapInArrow(verify, "k1 long, k2 long")
+    return pairs.mapInArrow(verify, "doc_id long, line int")
+
+
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """k1, k2 of the lines within one edit of an earlier line. lines: a stored table as line_keys makes it."""
+    texts = staged(_suspects(docs, lines))
+    near = staged(neighbourhoods(texts))
+    links = staged(_links(near))
+    release(near)
+    found = staged(_verified(links, texts).join(lines.select("doc_id", "line", "k1", "k2"), ["doc_id", "line"]).select("k1", "k2").distinct())
+    release(texts)
+    return found
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id and the numbers of the lines that go."""
     lines = staged(line_keys(docs, min_words, near_words))
-    near = near_lines(docs, lines).withColumn("near", F.lit(True))
-    copies = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")).where("first <> last").select("k1", "k2", "first")
-    gone = copies.join(near, ["k1", "k2"], "full_outer").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    hits = lines.select("doc_id", "line", "k1", "k2").join(gone, ["k1", "k2"]).where(F.col("near") | (F.struct("doc_id", "line") > F.col("first")))
+    near = near_lines(docs, lines)
+    gone = staged(_removed(lines, near))
+    release(lines)
+    return gone
+
+
+def _removed(lines: DataFrame, near: DataFrame) -> DataFrame:
+    me = F.struct("doc_id", "line")
+    copies = lines.groupBy("k1", "k2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("k1", "k2", "first")
+    gone = copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full_outer").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    hits = lines.select("doc_id", "line", "k1", "k2").join(gone, ["k1", "k2"]).where(F.col("near") | (me > F.col("first")))
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
 
