@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,6 +57,7 @@ def staged(df: DataFrame) -> DataFrame:
     del df
     atexit.register(_remove, spark, path)
     gc.collect()
+    time.sleep(0.3)  # listeners let go of the plan
     spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = path
