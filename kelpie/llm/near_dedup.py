@@ -11,8 +11,8 @@ Documents with a Jaccard similarity of 0.75 or more are linked, and a component
    missed with a probability below 0.0002, one at 0.8 below 0.00001.
 4. In a bucket the sketches' agreement estimates the similarity. `forest` takes from each bucket a spanning forest of
    its likeliest links, so a bucket of n gives fewer than n pairs. They are verified on the full sets and components
-   are made of the true links. `rest` then takes every pair that is still in different components and agrees in
-   CANDIDATE of the bins or more, which loses no link that could join components.
+   are made of the true links. `rest` then takes every pair that is still in different components, whose set sizes
+   allow the similarity and which a sketch of LONG bins does not put three standard deviations below it.
 5. Verification deals pairs by one member; a set travels once to each part that needs it, not once for each pair.
 
 Hot buckets: buckets above BLOCK members are cut into blocks, and every block meets every other one, so that no task
@@ -38,8 +38,16 @@ WIDTH = 5
 PERCENT = 75
 BANDS, ROWS = 32, 5
 T = BANDS * ROWS
-#: Share of equal bins from which a pair is looked at: three standard deviations below 0.75.
-CANDIDATE = 0.65
+#: Bins of the sketch by which the remaining pairs are chosen.
+LONG = 512
+
+
+def candidate(bins: int) -> float:
+    """Share of equal bins from which a pair is looked at: three standard deviations below the limit."""
+    p = PERCENT / 100
+    return p - 3 * (p * (1 - p) / bins) ** 0.5
+
+
 BLOCK = 2000
 
 
@@ -119,16 +127,16 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """id, the sketch in one byte a bin and the full set of each document (id, text)."""
+    """id, size of the set, the sketches in one byte a bin and the full set of each document (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             values, at = shingles(*text_buffer(b.column("text")))
-            short = sketches(values, at).astype(np.uint8)
+            short, long = (sketches(values, at, t).astype(np.uint8) for t in (T, LONG))
             sets = [values[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch([b.column("id"), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary())], ["id", "sketch", "members"])
+            yield pa.record_batch([b.column("id"), pa.array(np.diff(at)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (short, long)), pa.array(sets, pa.binary())], ["id", "size", "sketch", "long", "members"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, sketch binary, members binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, size long, sketch binary, long binary, members binary")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -136,15 +144,15 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
     """Prim's maximal spanning forest over the pairs that may be links."""
-    n = len(ids)
+    n, least = len(ids), candidate(T)
     best, near = agreement(sketch[0], sketch), np.zeros(n, np.int64)
     out, free = [], np.ones(n, bool)
     free[0] = False
     for _ in range(n - 1):
         k = int(np.argmax(np.where(free, best, -1)))
-        if best[k] >= CANDIDATE:
+        if best[k] >= least:
             out.append((int(ids[near[k]]), int(ids[k])))
         free[k] = False
         rest = np.flatnonzero(free)
@@ -154,36 +162,37 @@ def _forest(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(ids: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
     """Pairs of different labels that may be links; with two sides (blocks), pairs between them only."""
     names, counts = np.unique(label, return_counts=True)
-    main = names[np.argmax(counts)]
+    main, least = names[np.argmax(counts)], candidate(LONG)
     out = []
     for k in np.flatnonzero(label != main):
         ok = (label != label[k]) & ((label == main) | (np.arange(len(ids)) > k))
         if side.any():
             ok &= side != side[k]
+        ok &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
         rest = np.flatnonzero(ok)
-        hit = rest[agreement(sketch[k], sketch[rest]) >= CANDIDATE]
+        hit = rest[agreement(sketch[k], sketch[rest]) >= least]
         out += [(int(ids[k]), int(ids[j])) for j in hit]
     return out
 
 
 def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
-    """Distinct pairs (a < b) that pairs_of makes of each group of rows (key, id, label, side, sketch)."""
+    """Distinct pairs (a < b) that pairs_of makes of each group of rows (key, id, size, label, side, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(part: pa.Table):
             part = part.combine_chunks()
-            key, ids, label, side = (part.column(c).to_numpy() for c in ("key", "id", "label", "side"))
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), T)
+            key, ids, size, label, side = (part.column(c).to_numpy() for c in ("key", "id", "size", "label", "side"))
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
             found = []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if j - i > 1:
-                    found += pairs_of(ids[i:j], sketch[i:j], label[i:j], side[i:j])
+                    found += pairs_of(ids[i:j], sketch[i:j], size[i:j], label[i:j], side[i:j])
             found = sorted({(min(p), max(p)) for p in found})
             return pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
@@ -201,7 +210,7 @@ def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    rows = rows.select("key", "id", "label", "side", "sketch").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "id", "size", "label", "side", "sketch").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -268,9 +277,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     shared = staged(buckets.join(sizes, "key"))
     sets = staged(full_sets(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    sketch = sets.select("id", "sketch")
-    in_block = shared.join(sketch, "id").select(F.xxhash64("key", "block").alias("key"), "id", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch")
-    first = staged(_by_bucket(in_block, lambda ids, sk, label, side: _forest(ids, sk)))
+    sketch = sets.select("id", "size", "sketch")
+    in_block = shared.join(sketch, "id").select(F.xxhash64("key", "block").alias("key"), "id", "size", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch")
+    first = staged(_by_bucket(in_block, _forest))
     links = staged(verified(first, sets))
     labels = components(links)
     at = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -278,7 +287,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     at = at.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     at = at.select(F.xxhash64("key", low, high).alias("key"), "id", "label", ((F.col("block") == high) & (low != high)).cast("int").alias("side"))
-    rest = _by_bucket(at.join(sketch, "id"), _across).join(first, ["a", "b"], "left_anti")
+    rest = _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch")), "id"), _across).join(first, ["a", "b"], "left_anti")
     more = verified(staged(rest), sets)
     labels = components(staged(links.unionByName(more)))
     names = reps.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component"))
