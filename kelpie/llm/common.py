@@ -57,8 +57,9 @@ def staged(df: DataFrame) -> DataFrame:
     del df
     atexit.register(_remove, spark, path)
     gc.collect()
-    time.sleep(0.3)  # listeners let go of the plan
-    spark._jvm.System.gc()
+    for _ in range(2):  # once the listeners have let go of the plan
+        time.sleep(0.4)
+        spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = path
     return out
