@@ -148,7 +148,7 @@ def _suspects(docs: DataFrame, lines: DataFrame) -> DataFrame:
     suspects = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
     firsts = lines.where(F.size("halves") > 0).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(suspects, ["k1", "k2"], "left_semi")
     wanted = firsts.groupBy("first.doc_id").agg(F.collect_set("first.line").alias("lines"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     return texts.select("doc_id", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc_id", "line", F.get("all", F.col("line")).alias("text"))
 
 
@@ -208,12 +208,17 @@ def _removed(lines: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """docs with text without the lines that go, and n_lines and n_removed."""
-    gone = removed_lines(docs, min_words, near_words).select(F.col("doc_id").alias("of_doc"), "gone")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["of_doc"]), "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    """docs with text without the lines that go, and n_lines and n_removed (columns of these names are replaced).
+
+    The joins with the documents are merge joins at every size: what goes is not bounded.
+    """
+    gone = removed_lines(docs, min_words, near_words).select(F.col("doc_id").alias("of_doc"), "gone").hint("merge")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    out = rows.join(gone, F.col("d").eqNullSafe(F.col("of_doc")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    return out.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    new = {"text": text, "n_lines": F.size("lines").cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
