@@ -127,12 +127,15 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """id, size of the set, the sketches in one byte a bin and the full set of each document (id, text)."""
+    """id, size of the set, the sketches in one byte a bin (the long one with the band keys) and the full set of each
+    document (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             values, at = shingles(*text_buffer(b.column("text")))
-            short, long = (sketches(values, at, t).astype(np.uint8) for t in (T, LONG))
+            sketch = sketches(values, at)
+            bands = _bands(sketch).view(np.uint8).reshape(len(sketch), -1)
+            short, long = sketch.astype(np.uint8), np.hstack([sketches(values, at, LONG).astype(np.uint8), bands])
             sets = [values[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch([b.column("id"), pa.array(np.diff(at)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (short, long)), pa.array(sets, pa.binary())], ["id", "size", "sketch", "long", "members"])
 
@@ -163,7 +166,12 @@ def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
 
 
 def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
-    """Pairs of different labels that may be links; with two sides (blocks), pairs between them only."""
+    """Pairs of different labels that may be links, each in the first of its common bands only.
+
+    side: twice the band, plus one in the second of two blocks, between which pairs are made then.
+    """
+    band, side = int(side[0]) >> 1, side & 1
+    sketch, bands = sketch[:, :LONG], np.ascontiguousarray(sketch[:, LONG:]).view(np.uint64)
     names, counts = np.unique(label, return_counts=True)
     main, least = names[np.argmax(counts)], candidate(LONG)
     out = []
@@ -173,6 +181,7 @@ def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
             ok &= side != side[k]
         ok &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
         rest = np.flatnonzero(ok)
+        rest = rest[(bands[rest] == bands[k]).argmax(1) == band]
         hit = rest[agreement(sketch[k], sketch[rest]) >= least]
         out += [(int(ids[k]), int(ids[j])) for j in hit]
     return out
@@ -272,7 +281,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = staged(profiles(docs))
     reps = profile.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"))
-    buckets = reps.select("id", F.explode("bands").alias("key"))
+    buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     shared = staged(buckets.join(sizes, "key"))
     sets = staged(full_sets(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")))
@@ -286,7 +295,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     at = at.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    at = at.select(F.xxhash64("key", low, high).alias("key"), "id", "label", ((F.col("block") == high) & (low != high)).cast("int").alias("side"))
+    at = at.select(F.xxhash64("key", low, high).alias("key"), "id", "label", (F.col("band") * 2 + ((F.col("block") == high) & (low != high)).cast("int")).alias("side"))
     rest = _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch")), "id"), _across).join(first, ["a", "b"], "left_anti")
     more = verified(staged(rest), sets)
     labels = components(staged(links.unionByName(more)))
