@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_passages * PASSAGE).join(chosen, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             x, first = encode(*text_buffer(b.column("text")))
             packed = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
@@ -164,7 +164,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) with the score of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             yield pa.record_batch([b.column("doc_id"), pa.array(model.score(*encode(*text_buffer(b.column("text")))))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """The rows of docs whose text scores `threshold` or more, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             yield b.filter(pa.array(model.score(*encode(*text_buffer(b.column("text")))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
