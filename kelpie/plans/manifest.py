@@ -137,21 +137,25 @@ def table_meta(records: DataFrame, group: str, size) -> DataFrame:
 def key_to_table(keys: DataFrame, tables: DataFrame) -> DataFrame:
     """keys with the number of the table of one disjoint level that contains each, null in gaps.
 
-    A sort of keys among the tables' starts, then the last start before each key: linear, whatever the number of tables.
+    The level is a row for each file, which the driver holds anyway; sorted, it goes to the tasks, where a key is found
+    by bisection. No shuffle, and no comparison of every key with every table.
     """
-    from pyspark.sql import Window
-
-    kind = keys.schema["key"].dataType
-    starts = tables.select(F.col("min_key").alias("key"), F.lit(0).alias("asks"), F.col("number"), F.col("max_key").alias("hi"))
-    asks = keys.select("key", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("number"), F.lit(None).cast(kind).alias("hi"))
-    both = starts.unionByName(asks).withColumn("head", F.substring("key", 1, 1))
-    # Tables that reach over several first characters stand in for each of them, so windows may go by first character.
-    w = Window.partitionBy("head").orderBy("key", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = asks.select(F.substring("key", 1, 1).alias("head")).distinct()
-    carried = heads.join(tables.select("number", "min_key", "max_key"), (F.col("min_key") < F.col("head")) & (F.col("max_key") >= F.col("head")))
-    carried = carried.groupBy("head").agg(F.max_by(F.struct("number", "max_key"), "min_key").alias("t")).select(F.col("head").alias("key"), F.lit(-1).alias("asks"), F.col("t.number").alias("number"), F.col("t.max_key").alias("hi"), "head")
-    seen = both.unionByName(carried).withColumn("hit", F.last(F.when(F.col("asks") < 1, F.struct("number", "hi")), ignorenulls=True).over(w)).where("asks = 1")
-    return seen.select("key", F.when(F.col("key") <= F.col("hit.hi"), F.col("hit.number")).alias("number"))
+    from bisect import bisect_right
+
+    import pyarrow as pa
+
+    level = sorted((r["min_key"], r["max_key"], r["number"]) for r in tables.select("min_key", "max_key", "number").collect())
+    starts = [t[0] for t in level]
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for key in b.column("key").to_pylist():
+                at = -1 if key is None else bisect_right(starts, key) - 1
+                found.append(level[at][2] if at >= 0 and key <= level[at][1] else None)
+            yield pa.record_batch([b.column("key"), pa.array(found, pa.int64())], ["key", "number"])
+
+    return keys.select("key").mapInArrow(run, f"key {keys.schema['key'].dataType.simpleString()}, number long")
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
