@@ -53,13 +53,15 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/kelpie-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.parquet(path)
     del df
     atexit.register(_remove, spark, path)
-    gc.collect()
-    for _ in range(2):  # once the listeners have let go of the plan
-        time.sleep(0.4)
-        spark._jvm.System.gc()
+    if time.monotonic() - began > 2:  # short jobs leave little behind
+        gc.collect()
+        for _ in range(2):  # once the listeners have let go of the plan
+            time.sleep(0.4)
+            spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = path
     return out
