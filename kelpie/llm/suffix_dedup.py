@@ -65,13 +65,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return row, first - offsets[row], stop - offsets[row], mix(h[chosen[first].astype(np.int64)])
 
 
-def suffix_array(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of text, each ending with the first zero in it (before stop), equal ones by place.
+def suffix_array(text: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Order of the wanted suffixes of text, each ending with the first zero in it (before stop), equal ones by place.
 
     Larsson-Sadakane: ranks by 8 symbols first; then groups of equal rank, and they alone, are sorted by the rank of
-    what follows, the prefix compared doubling each time. Rank, following rank and place share one word where they fit.
+    what follows, the prefix compared doubling each time. A round takes only the places whose ranks later rounds look up.
+    Rank, following rank and place share one word where they fit.
     """
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
     key, going = np.zeros(n, np.uint64), np.ones(n, bool)
@@ -81,18 +84,24 @@ def suffix_array(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | symbol.astype(np.uint64)
     order = np.argsort(key)  # ties are put right below
     key = key[order]
-    head = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    bits, longest = int(n).bit_length(), int((stop - np.arange(n)).max()) if n else 0
-    h = 8
-    while True:
-        single = head & np.r_[head[1:], True]
-        todo = np.flatnonzero(~single)
-        if not len(todo) or h >= longest:
-            break
-        at = order[todo]
-        group = rank[at]
+    rank[order] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(n), 0))
+    bits, longest = int(n).bit_length(), int((stop - np.arange(n)).max())
+    depths, needs = [8], [wanted]
+    while depths[-1] < longest:
+        depths.append(depths[-1] * 2)
+    for h in depths[-2::-1]:  # ranks of depth h serve those of depth 2 h at their own place and h further on
+        further = np.zeros(n, bool)
+        further[h:] = needs[0][: n - h]
+        needs.insert(0, needs[0] | further)
+    for h, need in zip(depths[:-1] or [8], needs[1:] or [wanted], strict=False):
+        order = order[need[order]]
+        group = rank[order]
+        head = np.r_[True, group[1:] != group[:-1]][: len(group)]
+        todo = np.flatnonzero(~(head & np.r_[head[1:], True][: len(head)]))
+        if not len(todo):
+            continue
+        at, group = order[todo], group[todo]
         after = np.where(at + h < stop[at], rank[np.minimum(at + h, n - 1)] + 1, 0)
         if 3 * bits <= 62:
             word = np.sort((group << (2 * bits)) | (after << bits) | at)
@@ -101,40 +110,41 @@ def suffix_array(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
             perm = np.lexsort((at, after, group))
             at, word = at[perm], (group[perm] << bits) | after[perm]
         order[todo] = at
-        new = np.r_[True, word[1:] != word[:-1]]
-        head[todo] = new
-        rank[at] = np.maximum.accumulate(np.where(new, todo, 0))
-        h *= 2
-    return order
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
-    """Kasai's scan: for each suffix, symbols shared with the one before it in order, at most to the end of its context
-    and of the other's. The scan runs over all contexts (starts..ends) side by side, the count falling by one a step."""
-    n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+        index, group = np.arange(len(at)), word >> bits
+        begin = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], index, 0))
+        first = np.maximum.accumulate(np.where(np.r_[True, word[1:] != word[:-1]], index, 0))
+        rank[at] = group + first - begin
+    return order[wanted[order]]
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Kasai's scan: symbols that each suffix of order shares with the one before it, at most to the end of either's
+    context. The wanted suffixes are the first ones of each context (starts..ends); the scan runs over all contexts side
+    by side, the count falling by one a step while the other suffix's successor is wanted, too."""
+    place = np.zeros(len(text) + 1, np.int64)
+    place[order] = np.arange(len(order))
+    wanted = np.r_[wanted, False]
     stop = np.repeat(ends, ends - starts)  # of the context of each symbol
-    out = np.zeros(n, np.int32)
-    lanes = np.argsort(starts - ends, kind="stable")  # longest first
-    begin, size = starts[lanes], (ends - starts)[lanes]
+    out = np.zeros(len(order), np.int32)
+    count_of = np.add.reduceat(wanted[:-1].astype(np.int64), starts) if len(starts) else starts
+    lanes = np.argsort(-count_of, kind="stable")  # most windows first
+    begin, size = starts[lanes], count_of[lanes]
     shared = np.zeros(len(lanes), np.int64)
-    for step in range(int(size.max()) if len(size) else 0):
+    for step in range(int(size[0]) if len(size) else 0):
         live = int(np.searchsorted(-size, -step, "left"))
         i = begin[:live] + step
         r = place[i]
         j = np.where(r > 0, order[r - 1], -1)
-        count = np.maximum(shared[:live] - 1, 0)
         room = np.where(j >= 0, np.minimum(stop[i] - i, stop[j] - j), 0)
-        count = np.minimum(count, room)
+        count = np.minimum(np.maximum(shared[:live] - 1, 0), room)
         grow = np.flatnonzero(count < room)
         while len(grow):
-            same = text[i[grow] + count[grow]] == text[j[grow] + count[grow]]
-            grow = grow[same]
+            c = count[grow]
+            grow = grow[text[i[grow] + c] == text[j[grow] + c]]
             count[grow] += 1
             grow = grow[count[grow] < room[grow]]
         out[r] = count
-        shared[:live] = count
+        shared[:live] = np.where(wanted[j + 1], count, 0)
     return out
 
 
@@ -153,13 +163,10 @@ class Shard:
         # Bytes are shifted by one and a zero follows each context, so that no suffix runs into the next one.
         wide = np.zeros(len(text) + len(contexts), np.uint8)
         wide[np.arange(len(text)) + np.repeat(np.arange(len(contexts)), sizes)] = text + 1  # UTF-8 has no byte 255
-        order = suffix_array(wide, np.repeat(ends + 1, sizes + 1))
-        lcp = common_prefixes(wide, order, starts, ends + 1, length)
         context = np.repeat(np.arange(len(contexts)), sizes + 1)
-        whole = (ends[context] - np.arange(len(wide)) >= length)[order]  # a window starts here
-        at = order[whole]
-        # Windows equal in `length` bytes stand next to each other: a suffix between two of them shares these bytes.
-        head = lcp[whole] < length
+        window = ends[context] - np.arange(len(wide)) >= length  # one starts here
+        at = suffix_array(wide, np.repeat(ends + 1, sizes + 1), window)
+        head = common_prefixes(wide, at, starts, ends + 1, window) < length
         head[:1] = True
         self.group = np.cumsum(head) - 1
         self.context, self.offset = context[at], at - starts[context[at]]
