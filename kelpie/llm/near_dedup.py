@@ -280,7 +280,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = staged(profiles(docs))
-    reps = profile.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"))
+    reps = staged(profile.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
     buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     shared = staged(buckets.join(sizes, "key"))
