@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, slices, table
 
-ERROR_BYTES = 15
+ERROR_BYTES = 12
 MIN_ITEM = 20
 BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"

@@ -153,13 +153,13 @@ def test_matches_are_those_of_brute_force():
     for _ in range(150):
         p = pick(20, 80)
         q = list(p)
-        for _ in range(rng.randint(0, len(p) // 15 + 2)):
+        for _ in range(rng.randint(0, len(p) // decontaminate.ERROR_BYTES + 2)):
             i = rng.randrange(len(q))
             q[i : i + rng.randint(0, 1)] = rng.choices("abcd", k=rng.randint(0, 2))
             q = q or ["a"]
         t = pick(0, 80) + "".join(q) + pick(0, 80)
         d, got = brute_distance(p, t), Matcher([(7, p)]).search(t)
-        assert bool(got) == (d <= len(p) // 15)
+        assert bool(got) == (d <= len(p) // decontaminate.ERROR_BYTES)
         for _, distance, start, end in got:
             found += 1
             assert distance == d == levenshtein(p, t[start:end])
