@@ -193,17 +193,23 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id and the numbers of the lines that go."""
     lines = staged(line_keys(docs, min_words, near_words))
-    near = near_lines(docs, lines)
-    gone = staged(_removed(lines, near))
+    copies = staged(_copies(lines, near_lines(docs, lines)))
+    gone = staged(_removed(lines, copies))
+    release(copies)
     release(lines)
     return gone
 
 
-def _removed(lines: DataFrame, near: DataFrame) -> DataFrame:
+def _copies(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """k1, k2 of the lines that stand more than once or near an earlier one; near ones go everywhere."""
     me = F.struct("doc_id", "line")
     copies = lines.groupBy("k1", "k2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("k1", "k2", "first")
-    gone = copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full_outer").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    hits = lines.select("doc_id", "line", "k1", "k2").join(gone, ["k1", "k2"]).where(F.col("near") | (me > F.col("first")))
+    return copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full_outer").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+def _removed(lines: DataFrame, copies: DataFrame) -> DataFrame:
+    me = F.struct("doc_id", "line")
+    hits = lines.select("doc_id", "line", "k1", "k2").join(copies.hint("merge"), ["k1", "k2"]).where(F.col("near") | (me > F.col("first")))
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
 
