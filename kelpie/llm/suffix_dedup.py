@@ -239,7 +239,9 @@ def _repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
             yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "anchor"])
 
     found = staged(docs.mapInArrow(scan, "doc_id long, first int, last int, anchor long"))
-    out = staged(found.join(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchor", "left_semi"))
+    again = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))  # stored, so that a hot anchor can be split in the join
+    out = staged(found.join(again.hint("merge"), "anchor", "left_semi"))
+    release(again)
     release(found)
     return out
 
