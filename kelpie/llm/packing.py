@@ -33,8 +33,8 @@ from .token_counts import byte_letters
 
 END_ID = 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that one salted bucket of a length has on average.
-BUCKET_PIECES = 20_000
+#: Pieces that one bucket of a length has on average; a common length has many buckets.
+BUCKET_PIECES = 1000
 
 
 @dataclass(frozen=True)
@@ -142,11 +142,10 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity = Capacity(), rule:
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm") -> DataFrame:
     """pieces with sequence_id and offset. `pieces` is read several times: it should be a stored table."""
     spark = pieces.sparkSession
-    total = pieces.count()
-    buckets = max(1, total // BUCKET_PIECES)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    sizes = staged(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    histogram = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # an entry per length up to the capacity
+    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # an entry per length up to the capacity
+    deal = spark.createDataFrame([(k, -(-n // BUCKET_PIECES)) for k, n in histogram.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(deal), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
+    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     moves = plan_bins(histogram, capacity, rule)
     if not moves:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
