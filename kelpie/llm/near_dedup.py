@@ -282,8 +282,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     profile = staged(profiles(docs))
     reps = staged(profile.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
     buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    shared = staged(buckets.join(sizes, "key"))
+    # The sizes are stored, so that a hot bucket can be split in the join.
+    sizes = staged(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
+    shared = staged(buckets.join(sizes.hint("merge"), "key"))
     sets = staged(full_sets(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     sketch = sets.select("id", "size", "sketch")
