@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -28,7 +29,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the cluster names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="kelpie-")
+        own = tempfile.mkdtemp(prefix="kelpie-")
+        atexit.register(shutil.rmtree, own, True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
