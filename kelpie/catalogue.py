@@ -6,6 +6,9 @@ The change log of all of them is made of `events`: key = user_id as text, seq =
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -362,9 +365,9 @@ def scratch(spark) -> str:
     """A new folder below the shared one; its own temporary one where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="kelpie-")
+        own = tempfile.mkdtemp(prefix="kelpie-")
+        atexit.register(shutil.rmtree, own, True)
+        base = "file://" + own
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
