@@ -199,10 +199,11 @@ def shard_spans(group: list[tuple[int, int, int, bytes]], length: int = LENGTH,
     """Covered spans (doc_id, start, end) among contexts (key, doc_id, start, bytes) of one or more whole anchor groups."""
     spans, seen, contexts, places = [], {}, [], []
     for key, doc, begin, text in sorted(group, key=lambda r: (r[0], r[1], r[2])):
-        if (key, text) in seen:  # earlier as a whole
-            spans.append((doc, begin, begin + len(text)))
+        if (key, text) in seen:  # earlier as a whole, or the same place of a repeated row
+            if seen[key, text] != (doc, begin):
+                spans.append((doc, begin, begin + len(text)))
             continue
-        seen[key, text] = True
+        seen[key, text] = (doc, begin)
         contexts.append(text)
         places.append((doc, begin))
     if len(contexts) < 2:
@@ -266,6 +267,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                 piece = text[i][first : last + length]
                 me = (docs_[i], first)
                 old = best.get((key, piece))
+                if me == old:  # a repeated row: the same place
+                    continue
                 if old is None or me < old:
                     best[key, piece] = me
                     me = old

@@ -183,3 +183,19 @@ def test_kept_ranges():
 
 def test_no_documents(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("slices_of", [1, 2])
+def test_repeated_rows_keep_a_copy(spark, slices_of):
+    rng = random.Random(8)
+    one, two = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(2))
+    docs = [(1, one), (2, two + one[50:250]), (3, one[:120] + one[:120])]
+    df = spark.createDataFrame([x for x in docs for _ in range(2)], DOCS).repartition(slices_of)
+    out = suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+    got = sorted((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"])) for r in out.collect())
+    assert got == sorted(x for x in brute_suffix(docs, suffix_dedup.LENGTH).items() for _ in range(2))
+
+
+def test_one_place_twice_is_no_repeat():
+    text = bytes(range(97, 123)) * 5
+    assert suffix_dedup.shard_spans([(1, 4, 7, text), (1, 4, 7, text)], 100) == []
