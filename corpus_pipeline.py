@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from kelpie.llm import decontaminate, line_dedup, near_dedup, packing, quality_classifier
 from kelpie.llm.common import WORD_GAP, staged, table
 
-#: A document that lost lines is kept if it still has this many words.
-LEFT_WORDS = 10
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from their labels, rejects go."""
@@ -19,10 +16,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier go, and documents of which they leave fewer than LEFT_WORDS words."""
+    """Lines that stand earlier go, and documents of which they leave no word."""
     out = line_dedup.dedup_lines(docs)
-    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda x: x != ""))
-    out = out.where((F.col("n_removed") == 0) | (left >= LEFT_WORDS))
+    left = F.regexp_replace(F.coalesce("text", F.lit("")), WORD_GAP, "")
+    out = out.where((F.col("n_removed") == 0) | (left != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
