@@ -78,6 +78,32 @@ def test_probabilities_add_up():
     assert np.allclose((known + new)[:4], 1)
 
 
+def test_context_probabilities_add_up():
+    rng = np.random.default_rng(4)
+    u, w = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(30), np.arange(40), indexing="ij"))
+    base = np.tile(rng.dirichlet(np.ones(40)), 30)
+    n = rng.integers(0, 3, 1200) * rng.integers(0, 90, 1200)
+    n[:40] = 0
+    p = pitman_yor.context_model(u, w, n, base).reshape(30, 40)
+    assert np.allclose(p.sum(1), 1) and np.allclose(p[0], base[:40])
+    twice = pitman_yor.context_model(np.repeat(u, 2), np.repeat(w, 2), np.c_[n // 3, n - n // 3].ravel(), np.repeat(base, 2))
+    assert np.allclose(twice.reshape(-1, 2), p.reshape(-1, 1))
+
+
+@pytest.mark.parametrize("pairs", [pitman_yor.PAIRS, 50])
+def test_rare_words_are_contexts(spark, monkeypatch, pairs):
+    monkeypatch.setattr(pitman_yor, "PAIRS", pairs)
+    rng = random.Random(6)
+    rare = [f"{i}of{j}xx" for i in range(40) for j in range(40)]  # one suffix class, most of them outside the top
+    follows = dict(zip(rare, rng.sample(rare, len(rare)), strict=True))
+    docs = [(i, f"{x} {follows[x]}") for i, x in enumerate(rare * 3)]
+    heard = [(10000 + i, f"{x} {follows[x]}") for i, x in enumerate(rare[:300])]
+    mixed = [(20000 + i, f"{x} {follows[rare[i + 1]]}") for i, x in enumerate(rare[:300])]
+    df = spark.createDataFrame(docs + heard + mixed, DOCS)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(df, F.col("doc_id") < 10000, part_bytes=20000).collect()}
+    assert sum(got[10000 + i] > got[20000 + i] + 0.5 for i in range(300)) > 295
+
+
 def test_seating():
     n = np.array([0, 1, 2, 50, 10**6])
     t = pitman_yor.seat(n, np.arange(5, dtype=np.uint64), np.full(5, 2.0), 0.5)
