@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import hashlib
+import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that all executors share. Only in a single process (tests) a temporary one stands in for it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="kelpie-")
         atexit.register(shutil.rmtree, own, True)
         named = "file://" + own
@@ -45,36 +47,35 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-_PATHS: dict[int, str] = {}
+#: Spark's own switch: the shuffle files of a query go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Spark drops the shuffle files behind a plan when the driver finds it unused, so that is asked for here: pass the plan
-    without keeping a name for it.
+    The shuffle files behind df go with the write; a later use of df itself would compute them again.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/kelpie-{uuid.uuid4().hex}"
-    began = time.monotonic()
-    df.write.parquet(path)
-    del df
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    if time.monotonic() - began > 2:  # short jobs leave little behind
-        gc.collect()
-        for _ in range(2):  # once the listeners have let go of the plan
-            time.sleep(0.4)
-            spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
-    _PATHS[id(out)] = path
+    out._stored_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes what staged() wrote for df; nothing that reads it may run afterwards."""
-    path = _PATHS.pop(id(df), None)
-    if path:
-        _remove(df.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Deletes what staged() wrote for these; nothing that reads them may run afterwards."""
+    for df in tables:
+        path = df.__dict__.pop("_stored_at", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def training_fold(doc_id: str = "doc_id", mod: int = 5):
@@ -136,7 +137,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any substring of a byte buffer, in constant time each."""
+    """Polynomial hashes modulo 2**64 of any substring of a byte buffer, in constant time each.
+
+    They choose places only: long structured strings can share one, so nothing is taken as equal by them alone.
+    """
 
     def __init__(self, data: np.ndarray):
         size = 1 << max(16, int(len(data)).bit_length())
@@ -167,3 +171,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[:-1] &= ~inside[1:] | first[1:-1]
     begin = np.flatnonzero(starts)
     return begin, np.flatnonzero(ends) + 1, np.searchsorted(offsets, begin, "right") - 1
+
+
+#: Bytes of a word that are hashed in steps of eight over all words side by side; what is behind is digested word by word.
+_STEPPED = 128
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range: eight bytes at a time through `mix`, independent between salts."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - begin
+    h = mix(size.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64 + 1))
+    live = np.arange(len(size))
+    for at in range(0, _STEPPED, 8):
+        left = size[live] - at
+        live = live[left > 0]
+        if not len(live):
+            return h
+        left = np.minimum(left[left > 0], 8).astype(np.uint64)
+        x = eight[begin[live] + at] << (np.uint64(64) - left * np.uint64(8))  # only the word's own bytes
+        h[live] = mix((h[live] ^ x) + np.uint64(0x9E3779B97F4A7C15))
+    for i in live[size[live] > _STEPPED].tolist():
+        rest = hashlib.blake2b(data[begin[i] + _STEPPED : end[i]].tobytes(), digest_size=8).digest()
+        h[i] = mix(np.array([h[i] ^ np.uint64(int.from_bytes(rest, "little"))], np.uint64))[0]
+    return h

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, mix, slices, staged, table, text_buffer, words
+from .common import LOWER, mix, slices, staged, table, text_buffer, word_hashes, words
 
 WIDTH = 5
 PERCENT = 75
@@ -55,7 +55,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """The sorted distinct shingle hashes of each row of a buffer, end to end, and the offsets of the rows."""
     data = LOWER[data]
     begin, end, row = words(data, offsets)
-    w = Rolling(data).of(begin, end)
+    w = word_hashes(data, begin, end)
     n_words = np.bincount(row, minlength=len(offsets) - 1) if len(row) else np.zeros(len(offsets) - 1, np.int64)
     first = np.r_[0, np.cumsum(n_words)]
     value = np.zeros(len(w), np.uint64)

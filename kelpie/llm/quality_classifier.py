@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, slices, table, text_buffer, training_fold, words
+from .common import mix, slices, table, text_buffer, training_fold, word_hashes, words
 
 PASSAGE = 512
 SAMPLE = 3000
@@ -60,7 +60,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = passage[begin] if len(begin) else begin
     total = np.maximum(1, np.bincount(at, minlength=n))
     if len(begin):
-        w = Rolling(data).of(begin, end)
+        w = word_hashes(data, begin, end)
         same = np.r_[False, (w[1:] == w[:-1]) & (of[1:] == of[:-1])]
         three = mix(w + mix(np.roll(w, -1) + np.uint64(1)) + mix(np.roll(w, -2) + np.uint64(2)) + mix(of.astype(np.uint64)))
         whole = np.r_[of[2:] == of[:-2], False, False] if len(of) > 2 else np.zeros(len(of), bool)

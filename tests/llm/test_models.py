@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kelpie.llm import decontaminate, pitman_yor, quality_classifier
-from kelpie.llm.common import staged, table, text_buffer, training_fold
+from kelpie.llm.common import mix, staged, table, text_buffer, training_fold, word_hashes
 from kelpie.llm.decontaminate import Matcher
 
 DOCS = "doc_id long, text string"
@@ -53,63 +53,133 @@ def test_language_model(spark):
     assert better > 0.9 * len(docs)
 
 
+class Restaurant:
+    """Dishes of one restaurant or of many, seated customer by customer; tables are lists of sizes."""
+
+    def __init__(self, counts, seeds, d):
+        self.counts, self.seeds, self.d, self.sweeps = counts, seeds, d, 0
+        self.where = {x: [None] * min(n, pitman_yor.GROUPS) for x, n in counts.items()}
+        self.sizes = {x: [0] * 64 for x in counts}
+
+    def sweep(self, opening):
+        for x, n in self.counts.items():
+            sizes, where = self.sizes[x], self.where[x]
+            for j in range(len(where)):
+                weight = n // len(where) + (j < n % len(where))
+                if where[j] is not None:
+                    sizes[where[j]] -= weight
+                free = sizes.index(0)
+                pull = [opening(x) if k == free else s - self.d if s else 0 for k, s in enumerate(sizes)]
+                left = float(pitman_yor.uniform(np.array([self.seeds[x]], np.uint64), self.sweeps, j)[0]) * sum(pull)
+                where[j] = next(k for k, _ in enumerate(pull) if sum(pull[: k + 1]) > left)
+                sizes[where[j]] += weight
+        self.sweeps += 1
+
+    def tables(self, x):
+        return sum(s > 0 for s in self.sizes[x])
+
+
+def hash_of(word):
+    if word in (None, ""):
+        return int(pitman_yor.END if word is None else pitman_yor.START)
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def brute_parent(counts, burn, keep):
+    """Probability of a word, of which `counts` has the customers."""
+    n, v = sum(counts.values()), len(counts)
+    d = pitman_yor.discount_of(sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()))
+    room = Restaurant(counts, {w: hash_of(w) for w in counts}, d)
+    total, chance = v, collections.Counter()
+    for s in range(burn + keep):
+        weight = (1 + d * total) / (v + 1)
+        room.sweep(lambda x: weight)  # noqa: B023
+        total = sum(room.tables(w) for w in counts)
+        if s >= burn:
+            for w in [*counts, "never seen"]:
+                chance[w] += (counts.get(w, 0) - d * (room.tables(w) if w in counts else 0) + (1 + d * total) / (v + 1)) / (1 + n) / keep
+    return lambda w: chance[w if w in counts else "never seen"]
+
+
+def brute_scores(tokens, learn):
+    """log10 probability of every text; tokens: lists that end with None."""
+    pairs = collections.Counter()
+    for d, t in tokens.items():
+        if learn(d):
+            pairs.update(zip(["", *t], t, strict=False))
+    d = pitman_yor.discount_of(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    p = brute_parent(collections.Counter(w for _, w in pairs), 1, 1)
+    seeds = {(u, w): int(pitman_yor.Pairs.keys(np.array([hash_of(u)], np.uint64), np.array([hash_of(w)], np.uint64))[0]) for u, w in pairs}
+    room, total = Restaurant(pairs, seeds, d), collections.Counter(u for u, _ in pairs)
+    tables, totals, size = collections.Counter(), collections.Counter(), collections.Counter()
+    for (u, _), n in pairs.items():
+        size[u] += n
+    for s in range(pitman_yor.BURN + pitman_yor.KEEP):
+        room.sweep(lambda x: (1 + d * total[x[0]]) * p(x[1]))  # noqa: B023
+        total = collections.Counter()
+        for x in pairs:
+            total[x[0]] += room.tables(x)
+        if s >= pitman_yor.BURN:
+            totals.update(total)
+            tables.update({x: room.tables(x) for x in pairs})
+    sent = collections.Counter()
+    for x in pairs:
+        sent[x[1]] += room.tables(x)
+    p, keep = brute_parent(sent, pitman_yor.BURN, pitman_yor.KEEP), pitman_yor.KEEP
+    chance = lambda u, w: (pairs[u, w] - d * tables[u, w] / keep + (1 + d * totals[u] / keep) * p(w)) / (1 + size[u])
+    return {i: sum(math.log10(chance(u, w)) for u, w in zip(["", *t], t, strict=False)) for i, t in tokens.items()}
+
+
+@pytest.mark.parametrize("part, shard", [(2000, 900), (1 << 20, 1 << 20)])
+def test_scores_against_brute_force(spark, part, shard):
+    docs = corpus(90) + [(2000, "en0 en1 " * 40), (2001, "Tail " + "y" * 300), (2002, "tail " + "y" * 300)]
+    tokens = {d: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for d, t in docs}
+    want = brute_scores(tokens, lambda d: zlib.crc32(str(d).encode()) % 5 != 1)
+    out = pitman_yor.score_documents(spark.createDataFrame(docs, DOCS), training_fold() != 1, part, shard)
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_language_model_without_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
     assert pitman_yor.score_documents(df.limit(0), F.lit(True)).count() == 0
     untrained = {r["doc_id"]: r for r in pitman_yor.score_documents(df, F.lit(False)).collect()}
-    assert untrained[1]["n_known"] == 0 and untrained[1]["train_tokens"] == 0 and untrained[1]["score"] < 0
-
-
-def test_probabilities_add_up():
-    rng = np.random.default_rng(3)
-    counts = rng.integers(0, 4, (6, 5)) * rng.integers(0, 400, (6, 5))
-    counts[5] = 0
-    p = 10.0 ** pitman_yor.class_model(counts).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    c = rng.integers(1, 3000, 200)
-    klass = rng.integers(0, 4, 200)
-    customers, dishes = np.bincount(klass, c, 128), np.bincount(klass, minlength=128).astype(float)
-    model = pitman_yor.WordRestaurants(customers, dishes, 0.6, [dishes])
-    word = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    for s in range(3):
-        model.tables.append(np.bincount(klass, model.seat(c, word, klass, s), 128))
-    known = np.bincount(klass, model.probability(c, word, klass), 128)
-    new = model.probability(np.zeros(128, np.int64), np.arange(128, dtype=np.uint64), np.arange(128))
-    assert np.allclose((known + new)[:4], 1)
-
-
-def test_context_probabilities_add_up():
-    rng = np.random.default_rng(4)
-    u, w = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(30), np.arange(40), indexing="ij"))
-    base = np.tile(rng.dirichlet(np.ones(40)), 30)
-    n = rng.integers(0, 3, 1200) * rng.integers(0, 90, 1200)
-    n[:40] = 0
-    p = pitman_yor.context_model(u, w, n, base).reshape(30, 40)
-    assert np.allclose(p.sum(1), 1) and np.allclose(p[0], base[:40])
-    twice = pitman_yor.context_model(np.repeat(u, 2), np.repeat(w, 2), np.c_[n // 3, n - n // 3].ravel(), np.repeat(base, 2))
-    assert np.allclose(twice.reshape(-1, 2), p.reshape(-1, 1))
-
-
-@pytest.mark.parametrize("pairs", [pitman_yor.PAIRS, 50])
-def test_rare_words_are_contexts(spark, monkeypatch, pairs):
-    monkeypatch.setattr(pitman_yor, "PAIRS", pairs)
+    assert untrained[1]["n_known"] == 0 and untrained[1]["train_tokens"] == 0 and untrained[1]["score"] == 0
+
+
+def test_repeated_and_unnamed_rows(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 2 + [(None, "a b c"), (None, None), (3, "x")], DOCS)
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 9)) for r in pitman_yor.score_documents(df, F.col("doc_id") < 3).collect())
+    assert sum(got.values()) == 5 and max(got.values()) == 2 and len({x[3] for x in got if x[1] == 4}) == 1
+
+
+def test_rare_words_are_contexts(spark):
     rng = random.Random(6)
-    rare = [f"{i}of{j}xx" for i in range(40) for j in range(40)]  # one suffix class, most of them outside the top
+    rare = [f"{i}of{j}xx" for i in range(40) for j in range(40)]
     follows = dict(zip(rare, rng.sample(rare, len(rare)), strict=True))
     docs = [(i, f"{x} {follows[x]}") for i, x in enumerate(rare * 3)]
     heard = [(10000 + i, f"{x} {follows[x]}") for i, x in enumerate(rare[:300])]
     mixed = [(20000 + i, f"{x} {follows[rare[i + 1]]}") for i, x in enumerate(rare[:300])]
     df = spark.createDataFrame(docs + heard + mixed, DOCS)
-    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(df, F.col("doc_id") < 10000, part_bytes=20000).collect()}
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(df, F.col("doc_id") < 10000, part_bytes=20000, shard_bytes=30000).collect()}
     assert sum(got[10000 + i] > got[20000 + i] + 0.5 for i in range(300)) > 295
 
 
 def test_seating():
-    n = np.array([0, 1, 2, 50, 10**6])
-    t = pitman_yor.seat(n, np.arange(5, dtype=np.uint64), np.full(5, 2.0), 0.5)
-    assert t[0] == 0 and t[1] == 1 and (t <= n).all() and t[4] > t[3] >= t[2] >= 1
-    many = pitman_yor.seat(np.full(4000, 60), np.arange(4000, dtype=np.uint64), np.full(4000, 1.0), 0.0)
-    assert many.mean() == pytest.approx(sum(1 / (1 + i) for i in range(60)), rel=0.05)  # a Chinese restaurant of weight 1
+    """Sweeps leave as many tables as the dish's distribution, p(t) in proportion to S(n, t) * opening**t, has on average."""
+    n, d, a = 6, 0.4, 1.3
+    ways = [1.0]  # generalised Stirling numbers of n customers at t tables
+    for i in range(n):
+        ways = [0.0] + [(ways[t - 1] if t else 0) + (i - t * d) * (ways[t] if t < len(ways) else 0) for t in range(1, i + 2)]
+    weight = [x * a**t for t, x in enumerate(ways)]
+    seating = pitman_yor.Seating(np.full(20000, n), mix(np.arange(20000, dtype=np.uint64)), d)
+    for _ in range(12):
+        t = seating.sweep(np.full(20000, a))
+    assert t.mean() == pytest.approx(sum(k * x for k, x in enumerate(weight)) / sum(weight), rel=0.02)
+    big = pitman_yor.Seating(np.array([1, 2, 10**6]), np.arange(3, dtype=np.uint64), d)
+    t = big.sweep(np.full(3, a))
+    assert t[0] == 1 and 1 <= t[1] <= 2 and 1 <= t[2] <= pitman_yor.GROUPS
 
 
 # ---- classifier
