@@ -109,8 +109,8 @@ def brute_scores(tokens, learn):
         if learn(d):
             pairs.update(zip(["", *t], t, strict=False))
     d = pitman_yor.discount_of(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
-    p = brute_parent(collections.Counter(w for _, w in pairs), 1, 1)
-    seeds = {(u, w): int(pitman_yor.Pairs.keys(np.array([hash_of(u)], np.uint64), np.array([hash_of(w)], np.uint64))[0]) for u, w in pairs}
+    p = brute_parent(collections.Counter(w for _, w in pairs), *pitman_yor.FIRST_SWEEPS)
+    seeds = {(u, w): int(pitman_yor.pair_seed(np.array([hash_of(u)], np.uint64), np.array([hash_of(w)], np.uint64))[0]) for u, w in pairs}
     room, total = Restaurant(pairs, seeds, d), collections.Counter(u for u, _ in pairs)
     tables, totals, size = collections.Counter(), collections.Counter(), collections.Counter()
     for (u, _), n in pairs.items():
@@ -126,7 +126,7 @@ def brute_scores(tokens, learn):
     sent = collections.Counter()
     for x in pairs:
         sent[x[1]] += room.tables(x)
-    p, keep = brute_parent(sent, pitman_yor.BURN, pitman_yor.KEEP), pitman_yor.KEEP
+    p, keep = brute_parent(sent, *pitman_yor.LAST_SWEEPS), pitman_yor.KEEP
     chance = lambda u, w: (pairs[u, w] - d * tables[u, w] / keep + (1 + d * totals[u] / keep) * p(w)) / (1 + size[u])
     return {i: sum(math.log10(chance(u, w)) for u, w in zip(["", *t], t, strict=False)) for i, t in tokens.items()}
 
