@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes outside x20 and x09-x0D.
@@ -78,6 +78,11 @@ def release(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def identity() -> tuple[Column, Column]:
+    """What tells rows of documents apart: doc_id (null: the smallest number) and a tag, a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text", F.col("doc_id").isNull())
+
+
 def training_fold(doc_id: str = "doc_id", mod: int = 5):
     """crc32 of the id as text, modulo mod."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words. A line of at least MIN_WORDS words goes if an equal line stands earlier
-(smaller doc_id, then smaller line number); one of at least NEAR_WORDS words also goes if an earlier line differs from
-it by one word replaced, inserted or deleted. Shorter lines always stay.
+Lines are compared as sequences of words. A line with a word goes if an equal line stands earlier; one of at least
+NEAR_WORDS words also goes if an earlier line of as many differs from it by one word replaced, inserted or deleted (in
+shorter lines one word is too much of the line). Earlier is a smaller doc_id, then a smaller line number.
 
 The neighbourhood of a line is the line itself and the line without each one of its words, as 128-bit keys with the
 place of the deletion. Lines with one key and place differ by a replaced word; a whole line that equals another one's
@@ -13,8 +13,10 @@ Before, a pigeonhole join keeps only lines that share their first or second half
 half stays whole. Only those emit neighbourhoods, so their number of keys follows the near copies, not the corpus.
 
 Defined results: a null text returns as null, an empty one as empty, each with one line and none removed; rows with a
-null doc_id come first in order; repeated rows are documents of one place: all of them keep the lines that the first
-keeps; an empty table gives no rows; other columns are carried along by `dedup_lines`.
+null doc_id come first in order, as one document; rows of one doc_id with different texts are documents of their own, in
+the order of a hash of their texts; repeated rows are documents of one place: all of them keep the lines that the first
+keeps; blank lines always stay; lines of any length are whole; an empty table gives no rows; other columns are carried
+along by `dedup_lines`.
 """
 
 from __future__ import annotations
@@ -26,23 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, release, slices, staged, table, text_buffer, words
+from .common import identity, mix, release, slices, staged, table, text_buffer, word_hashes, words
 
-MIN_WORDS = 5
 NEAR_WORDS = 10
-LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, halves array<long>"
-NEIGHBOUR_SCHEMA = "v1 long, v2 long, place int, doc_id long, line int"
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
-
-
-def _tables(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+LINE_SCHEMA = "doc_id long, tag long, line int, n int, k1 long, k2 long, halves array<long>"
+NEIGHBOUR_SCHEMA = "v1 long, v2 long, place int, doc_id long, tag long, line int"
+#: A line's place in the order of the corpus.
+PLACE = ("doc_id", "tag", "line")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class LineHashes:
-    """The words of every line of a buffer and hashes of any run of them."""
+    """The words of every line of a buffer and 128-bit hashes of them: sums over words of a hash of word and place."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         begin, end, row = words(data, offsets)
@@ -50,82 +47,84 @@ class LineHashes:
         number = np.searchsorted(breaks, begin)  # line breaks before each word
         key = row.astype(np.int64) * (len(data) + 1) + number
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.word = Rolling(data).of(begin, end)
         self.start, self.stop = first, np.r_[first[1:], len(key)] if len(first) else first
         self.row = row[first] if len(first) else first
         self.line = number[first] - np.searchsorted(breaks, offsets[self.row]) if len(first) else first
         self.n = self.stop - self.start
-        size = int(self.n.max()) + 2 if len(first) else 2
-        self.powers, self.sums = [], []
-        nth = np.arange(len(self.word)) - np.repeat(self.start, self.n)
-        for i, base in enumerate(_BASES):
-            up, down = _tables(base, size)
-            self.powers.append((up, down))
-            self.sums.append(np.r_[np.uint64(0), np.cumsum(mix(self.word + np.uint64(i)) * up[nth])])
-
-    def run(self, which: int, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Unfinished hash of the words a..b of each line, as if a were the first."""
-        s = self.sums[which]
-        return (s[self.start[line] + b] - s[self.start[line] + a]) * self.powers[which][1][a]
-
-    def whole(self, which: int, line: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix(self.run(which, line, np.zeros(len(line), np.int64), self.n[line]) + self.n[line].astype(np.uint64) * np.uint64(0x51ED2701 + salt))
+        nth = np.arange(len(begin)) - np.repeat(self.start, self.n)
+        left = np.repeat(self.n, self.n) - nth
+        sums = lambda w, place: np.r_[np.uint64(0), np.cumsum(mix(w + place.astype(np.uint64) * _STEP))]
+        hashes = [word_hashes(data, begin, end, salt) for salt in (0, 1)]
+        self.here = [sums(w, nth + 1) for w in hashes]
+        self.moved = [sums(w, nth) for w in hashes]  # as if a word before were gone
+        self.back = sums(hashes[0], left + 0x40000000)  # counted from the line's end
+
+    @staticmethod
+    def _finish(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix(value + n.astype(np.uint64) * np.uint64(0x51ED2701))
+
+    def whole(self, which: int, line: np.ndarray) -> np.ndarray:
+        s = self.here[which]
+        return self._finish(s[self.stop[line]] - s[self.start[line]], self.n[line])
 
     def half(self, line: np.ndarray, length: np.ndarray, second: bool) -> np.ndarray:
         """The first or second half that a line shares with lines of `length` words or one more."""
         p = length // 2
-        a = self.n[line] - (length - p) if second else np.zeros(len(line), np.int64)
-        b = self.n[line] if second else p
-        return mix(self.run(0, line, a, b) + length.astype(np.uint64) * np.uint64(2) + np.uint64(second))
+        if second:
+            value = self.back[self.stop[line]] - self.back[self.stop[line] - (length - p)]
+        else:
+            value = self.here[0][self.start[line] + p] - self.here[0][self.start[line]]
+        return mix(value + length.astype(np.uint64) * np.uint64(2) + np.uint64(second))
 
     def without(self, which: int, line: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Key of the line without the word at `place`: that of the whole line which has these words."""
-        up, down = self.powers[which]
-        s, at = self.sums[which], self.start[line]
-        value = (s[at + place] - s[at]) + (s[at + self.n[line]] - s[at + place + 1]) * down[1]
-        return mix(value + (self.n[line] - 1).astype(np.uint64) * np.uint64(0x51ED2701))
+        here, moved, at = self.here[which], self.moved[which], self.start[line]
+        value = (here[at + place] - here[at]) + (moved[self.stop[line]] - moved[at + place + 1])
+        return self._finish(value, self.n[line] - 1)
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def line_keys(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Every line of at least min_words words: its place, its key and the half keys of those with near_words."""
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id and tag as `identity` has them, and text."""
+    doc_id, tag = identity()
+    return docs.select(doc_id.alias("doc_id"), tag.alias("tag"), "text")
+
+
+def line_keys(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """Every line with a word: its place, its key and the half keys of those with near_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            data, offsets = text_buffer(b.column("text"))
-            h = LineHashes(data, offsets)
-            at = np.flatnonzero(h.n >= min_words)
-            if not len(at):
-                continue
-            near = h.n[at] >= near_words
+            h = LineHashes(*text_buffer(b.column("text")))
+            at = np.arange(len(h.n))
+            near = h.n >= near_words
             some = at[near]
             keys = np.stack([h.half(some, h.n[some] - back, second) for back in (0, 1) for second in (False, True)], 1)
             halves = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(4 * near)].astype(np.int32)), _long(keys.reshape(-1)))
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()).take(pa.array(h.row[at])), pa.array(h.line[at].astype(np.int32)), pa.array(h.n[at].astype(np.int32)), _long(h.whole(0, at)), _long(h.whole(1, at)), halves], ["doc_id", "line", "n", "k1", "k2", "halves"])
+            row = pa.array(h.row)
+            yield pa.record_batch([b.column("doc_id").take(row), b.column("tag").take(row), pa.array(h.line.astype(np.int32)), pa.array(h.n.astype(np.int32)), _long(h.whole(0, at)), _long(h.whole(1, at)), halves], [*PLACE, "n", "k1", "k2", "halves"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, LINE_SCHEMA)
+    return identified(docs).mapInArrow(run, LINE_SCHEMA)
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """Keys of each line (doc_id, line, text) and of the line without each of its words; place -1 is the whole line."""
+    """Keys of each line (doc_id, tag, line, text) and of the line without each of its words; place -1 is the whole line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            data, offsets = text_buffer(b.column("text"))
-            h = LineHashes(data, offsets)  # each text is one line
+            h = LineHashes(*text_buffer(b.column("text")))  # each text is one line
             every = np.arange(len(h.n))
             line = np.repeat(every, h.n)
             place = np.arange(len(line)) - np.repeat(h.start, h.n)
             all_lines, places = np.r_[every, line], np.r_[np.full(len(every), -1), place]
-            k = [h.whole(i, every) for i in (0, 1)]
-            v = [np.r_[k[i], h.without(i, line, place)] for i in (0, 1)]
+            v = [np.r_[h.whole(i, every), h.without(i, line, place)] for i in (0, 1)]
             row = pa.array(h.row[all_lines])
-            yield pa.record_batch([_long(v[0]), _long(v[1]), pa.array(places.astype(np.int32)), b.column("doc_id").take(row), b.column("line").take(row)], ["v1", "v2", "place", "doc_id", "line"])
+            yield pa.record_batch([_long(v[0]), _long(v[1]), pa.array(places.astype(np.int32)), *(b.column(c).take(row) for c in PLACE)], ["v1", "v2", "place", *PLACE])
 
-    return lines.select("doc_id", "line", "text").mapInArrow(run, NEIGHBOUR_SCHEMA)
+    return lines.select(*PLACE, "text").mapInArrow(run, NEIGHBOUR_SCHEMA)
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -142,19 +141,19 @@ def within_one_edit(a: list, b: list) -> bool:
 
 
 def _suspects(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, line and text of the first of each of the lines that share a half with another text."""
+    """Place and text of the first of each of the lines that share a half with another text."""
     halves = lines.select("k1", "k2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
     suspects = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
-    firsts = lines.where(F.size("halves") > 0).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(suspects, ["k1", "k2"], "left_semi")
-    wanted = firsts.groupBy("first.doc_id").agg(F.collect_set("first.line").alias("lines"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return texts.select("doc_id", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc_id", "line", F.get("all", F.col("line")).alias("text"))
+    firsts = lines.where(F.size("halves") > 0).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("first")).join(suspects, ["k1", "k2"], "left_semi")
+    wanted = firsts.groupBy("first.doc_id", "first.tag").agg(F.collect_set("first.line").alias("lines"))
+    texts = identified(docs).join(wanted.hint("merge"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    return texts.select("doc_id", "tag", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all")).select(*PLACE, F.get("all", F.col("line")).alias("text"))
 
 
 def _links(near: DataFrame) -> DataFrame:
     """me and early, two places each: the earliest line whose neighbourhood meets that of a later line."""
-    me = F.struct("doc_id", "line")
+    me = F.struct(*PLACE)
     by_place = near.groupBy("v1", "v2", "place").agg(F.min(me).alias("early"), F.max(me).alias("late"))
     replaced = near.where("place >= 0").join(by_place.where("place >= 0 and early <> late").drop("late"), ["v1", "v2", "place"]).where(me > F.col("early")).select(me.alias("me"), "early")
     whole = by_place.where("place = -1").select("v1", "v2", F.col("early").alias("short"))
@@ -165,18 +164,18 @@ def _links(near: DataFrame) -> DataFrame:
 
 
 def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id and line of the later lines that are within one edit of their earlier one."""
-    mine = texts.select(F.struct("doc_id", "line").alias("me"), F.col("text").alias("mine"))
-    theirs = texts.select(F.struct("doc_id", "line").alias("early"), F.col("text").alias("theirs"))
-    pairs = links.join(mine, "me").join(theirs, "early").select("me.doc_id", "me.line", "mine", "theirs")
+    """Places of the later lines that are within one edit of their earlier one."""
+    mine = texts.select(F.struct(*PLACE).alias("me"), F.col("text").alias("mine"))
+    theirs = texts.select(F.struct(*PLACE).alias("early"), F.col("text").alias("theirs"))
+    pairs = links.join(mine, "me").join(theirs, "early").select("me.*", "mine", "theirs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = lambda t: t.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ")
         for x in batches:
             rows = zip(x.column("mine").cast(pa.binary()).to_pylist(), x.column("theirs").cast(pa.binary()).to_pylist(), strict=True)
-            yield x.select(["doc_id", "line"]).filter(pa.array([within_one_edit([w for w in split(m) if w], [w for w in split(t) if w]) for m, t in rows], pa.bool_()))
+            yield x.select(list(PLACE)).filter(pa.array([within_one_edit([w for w in split(m) if w], [w for w in split(t) if w]) for m, t in rows], pa.bool_()))
 
-    return pairs.mapInArrow(verify, "doc_id long, line int")
+    return pairs.mapInArrow(verify, "doc_id long, tag long, line int")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -185,42 +184,43 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     near = staged(neighbourhoods(texts))
     links = staged(_links(near))
     release(near)
-    found = staged(_verified(links, texts).join(lines.select("doc_id", "line", "k1", "k2"), ["doc_id", "line"]).select("k1", "k2").distinct())
-    release(texts)
+    found = staged(_verified(links, texts).join(lines.select(*PLACE, "k1", "k2"), list(PLACE)).select("k1", "k2").distinct())
+    release(texts, links)
     return found
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """doc_id and the numbers of the lines that go."""
-    lines = staged(line_keys(docs, min_words, near_words))
-    copies = staged(_copies(lines, near_lines(docs, lines)))
+def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id and tag (see `identified`) and the numbers of the lines that go."""
+    lines = staged(line_keys(docs, near_words))
+    near = near_lines(docs, lines)
+    copies = staged(_copies(lines, near))
     gone = staged(_removed(lines, copies))
-    release(copies)
-    release(lines)
+    release(near, copies, lines)
     return gone
 
 
 def _copies(lines: DataFrame, near: DataFrame) -> DataFrame:
     """k1, k2 of the lines that stand more than once or near an earlier one; near ones go everywhere."""
-    me = F.struct("doc_id", "line")
+    me = F.struct(*PLACE)
     copies = lines.groupBy("k1", "k2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("k1", "k2", "first")
     return copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full_outer").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def _removed(lines: DataFrame, copies: DataFrame) -> DataFrame:
-    me = F.struct("doc_id", "line")
-    hits = lines.select("doc_id", "line", "k1", "k2").join(copies.hint("merge"), ["k1", "k2"]).where(F.col("near") | (me > F.col("first")))
-    return hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    me = F.struct(*PLACE)
+    hits = lines.select(*PLACE, "k1", "k2").join(copies.hint("merge"), ["k1", "k2"]).where(F.col("near") | (me > F.col("first")))
+    return hits.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with text without the lines that go, and n_lines and n_removed (columns of these names are replaced).
 
     The joins with the documents are merge joins at every size: what goes is not bounded.
     """
-    gone = removed_lines(docs, min_words, near_words).select(F.col("doc_id").alias("of_doc"), "gone").hint("merge")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    out = rows.join(gone, F.col("d").eqNullSafe(F.col("of_doc")), "left")
+    gone = removed_lines(docs, near_words).select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), "gone").hint("merge")
+    doc_id, tag = identity()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("d"), tag.alias("t"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    out = rows.join(gone, (F.col("d") == F.col("of_doc")) & (F.col("t") == F.col("of_tag")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     new = {"text": text, "n_lines": F.size("lines").cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
