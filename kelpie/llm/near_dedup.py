@@ -11,16 +11,23 @@ Documents with a Jaccard similarity of 0.75 or more are linked, and a component
    missed with a probability below 0.0002, one at 0.8 below 0.00001.
 4. In a bucket the sketches' agreement estimates the similarity. `forest` takes from each bucket a spanning forest of
    its likeliest links, so a bucket of n gives fewer than n pairs. They are verified on the full sets and components
-   are made of the true links. `rest` then takes every pair that is still in different components, whose set sizes
-   allow the similarity and which a sketch of LONG bins does not put three standard deviations below it.
-5. Verification deals pairs by one member; a set travels once to each part that needs it, not once for each pair.
-
-Hot buckets: buckets above BLOCK members are cut into blocks, and every block meets every other one, so that no task
-holds more than two blocks.
-
-Defined results: null and blank texts have empty sets and are linked with nothing; rows of one doc_id are one document
-with the union of their sets, one row each in the result; an empty table gives no rows; other columns are carried along
-by `near_dedup`.
+   are made of the true links. `rest` then takes every pair of a bucket that is still in different components, whose set
+   sizes allow the similarity and which a sketch of LONG bins does not put five standard deviations below it (a pair at
+   0.75 is lost so with a probability below 0.000001).
+5. Verification deals pairs in parts of bounded size; a set travels once to each part that needs it, not once for each
+   pair.
+
+Hot buckets: a bucket above BLOCK members is cut into blocks. Each block has a forest of its own; as a document's blocks
+differ from band to band, the forests join over the bands. Then only strays, members outside the bucket's largest
+component, visit the other blocks, so that no task holds more than a block and its visitors, and members of the largest
+component are not copied.
+
+Nodes are distinct sets, not documents: copies cost nothing, and rows that share a doc_id cannot be confused.
+
+Defined results: null and blank texts have empty sets and are linked with nothing; so are rows with a null doc_id, which
+stay; rows of one doc_id are one document with a row for each text: what one of them is linked with, all are, and each
+has its own n_shingles; repeated rows return as often as they occur; texts of any length are whole; an empty table gives
+no rows; other columns are carried along by `near_dedup`.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, slices, staged, table, text_buffer, word_hashes, words
+from .common import LOWER, identity, mix, release, slices, staged, table, text_buffer, word_hashes, words
 
 WIDTH = 5
 PERCENT = 75
@@ -42,13 +49,15 @@ T = BANDS * ROWS
 LONG = 512
 
 
-def candidate(bins: int) -> float:
-    """Share of equal bins from which a pair is looked at: three standard deviations below the limit."""
-    p = PERCENT / 100
-    return p - 3 * (p * (1 - p) / bins) ** 0.5
+BLOCK = 500
+#: Pairs of one part of the verification.
+PART_PAIRS = 2000
 
 
-BLOCK = 2000
+def candidate(bins: int, deviations: float) -> float:
+    """Share of equal bins from which a pair is looked at: so many standard deviations below the limit."""
+    p = PERCENT / 100
+    return p - deviations * (p * (1 - p) / bins) ** 0.5
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +119,7 @@ def _bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set and the band keys (none for empty sets)."""
+    """doc_id, tag (a hash of the text), n_shingles, a 128-bit key of the set and the band keys (none for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -121,9 +130,9 @@ def profiles(docs: DataFrame) -> DataFrame:
             sums = [np.r_[np.uint64(0), np.cumsum(mix(values + np.uint64(salt)))] for salt in (1, 2)]
             keys = [mix(s[at[1:]] - s[at[:-1]] + size.astype(np.uint64)).view(np.int64) for s in sums]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands.view(np.int64)))
-            yield pa.record_batch([b.column("doc_id"), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.record_batch([b.column("doc_id"), b.column("tag"), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "tag", "n_shingles", "s1", "s2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
     """Prim's maximal spanning forest over the pairs that may be links."""
-    n, least = len(ids), candidate(T)
+    n, least = len(ids), candidate(T, 3)
     best, near = agreement(sketch[0], sketch), np.zeros(n, np.int64)
     out, free = [], np.ones(n, bool)
     free[0] = False
@@ -166,19 +175,18 @@ def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
 
 
 def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
-    """Pairs of different labels that may be links, each in the first of its common bands only.
+    """Pairs of a stray and a member of the block with different labels that may be links, each in the first of its
+    common bands only.
 
-    side: twice the band, plus one in the second of two blocks, between which pairs are made then.
+    side: four times the band, plus two for strays, plus one for those that visit from another block.
     """
-    band, side = int(side[0]) >> 1, side & 1
+    band, stray, visits = int(side[0]) >> 2, side & 2 > 0, side & 1 > 0
     sketch, bands = sketch[:, :LONG], np.ascontiguousarray(sketch[:, LONG:]).view(np.uint64)
-    names, counts = np.unique(label, return_counts=True)
-    main, least = names[np.argmax(counts)], candidate(LONG)
-    out = []
-    for k in np.flatnonzero(label != main):
-        ok = (label != label[k]) & ((label == main) | (np.arange(len(ids)) > k))
-        if side.any():
-            ok &= side != side[k]
+    least, index, out = candidate(LONG, 5), np.arange(len(ids)), []
+    for k in np.flatnonzero(stray):
+        ok = ~visits & (label != label[k])
+        if not visits[k]:
+            ok &= ~stray | (index > k)
         ok &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
         rest = np.flatnonzero(ok)
         rest = rest[(bands[rest] == bands[k]).argmax(1) == band]
@@ -226,10 +234,11 @@ def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the stored pairs (a, b) whose full sets are similar enough.
 
-    Pairs are dealt in parts by one member; a part holds each set that it needs once.
+    Pairs are dealt in parts by one member, those of a member with many over sixteen; a part holds each set that it needs
+    once.
     """
-    parts = max(1, pairs.count() // 4000)
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    parts = max(1, pairs.count() // PART_PAIRS)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(parts)))
     wanted = dealt.select("part", F.col("a").alias("id")).unionByName(dealt.select("part", F.col("b").alias("id"))).distinct()
     held = wanted.join(sets.select("id", "members"), "id").select("part", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "members")
     asked = dealt.select("part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("members"))
@@ -264,51 +273,73 @@ def components(edges: DataFrame) -> DataFrame:
     Labels fall to the least among the neighbours' and then to their own labels' labels, until none falls.
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label"))
+    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label", F.lit(True).alias("fell")))
     while True:
-        around = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label")
-        least = around.unionByName(labels).groupBy("id").agg(F.min("label").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("further"))
-        new = least.join(jump, "low").join(labels.withColumnRenamed("label", "old"), "id")
+        now = labels.select("id", "label")
+        around = both.join(now.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label")
+        least = around.unionByName(now).groupBy("id").agg(F.min("label").alias("low"))
+        jump = now.select(F.col("id").alias("low"), F.col("label").alias("further"))
+        new = least.join(jump, "low").join(now.withColumnRenamed("label", "old"), "id")
         new = staged(new.select("id", F.least("low", "further").alias("label"), (F.least("low", "further") < F.col("old")).alias("fell")))
-        labels = new.select("id", "label")
+        release(labels)
+        labels = new
         if not new.where("fell").limit(1).count():
-            return labels
+            release(both)
+            return labels.drop("fell")
+
+
+def _same_documents(profile: DataFrame) -> DataFrame:
+    """a and b: sets that are those of one doc_id."""
+    ends = profile.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("high")).where("a <> high").drop("high")
+    return profile.join(ends, "doc_id").where("s1 <> a").select("a", F.col("s1").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity()[1].alias("tag"), "text")
     profile = staged(profiles(docs))
-    reps = staged(profile.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
-    buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    named = profile.where("n_shingles > 0 and doc_id is not null")
+    nodes = staged(named.groupBy(F.col("s1").alias("id"), "s2").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.min("bands").alias("bands")))
+    buckets = nodes.select("id", "first", F.posexplode("bands").alias("band", "key"))
     # The sizes are stored, so that a hot bucket can be split in the join.
     sizes = staged(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
-    shared = staged(buckets.join(sizes.hint("merge"), "key"))
-    sets = staged(full_sets(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")))
-    shared = shared.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    sketch = sets.select("id", "size", "sketch")
-    in_block = shared.join(sketch, "id").select(F.xxhash64("key", "block").alias("key"), "id", "size", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch")
+    shared = staged(buckets.join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")))
+    release(sizes)
+    wanted = shared.select("id", "first.doc_id", "first.tag").distinct()
+    sets = staged(full_sets(docs.join(wanted, ["doc_id", "tag"]).dropDuplicates(["id"])))
+    shared = shared.select("id", "band", "key", "blocks", "block")
+    in_block = shared.join(sets.select("id", "size", "sketch"), "id").select(F.xxhash64("key", "block").alias("key"), "id", "size", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch")
     first = staged(_by_bucket(in_block, _forest))
-    links = staged(verified(first, sets))
+    links = staged(verified(first, sets).unionByName(_same_documents(named)))
     labels = components(links)
-    at = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    at = at.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    at = at.select(F.xxhash64("key", low, high).alias("key"), "id", "label", (F.col("band") * 2 + ((F.col("block") == high) & (low != high)).cast("int")).alias("side"))
-    rest = _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch")), "id"), _across).join(first, ["a", "b"], "left_anti")
-    more = verified(staged(rest), sets)
-    labels = components(staged(links.unionByName(more)))
-    names = reps.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component"))
-    out = profile.drop("bands").join(names, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    rest = staged(_rest(shared, labels, sets).join(first, ["a", "b"], "left_anti"))
+    more = staged(links.unionByName(verified(rest, sets)))
+    release(first, links, sets, rest)
+    labels = components(more)
+    release(more)
+    label = nodes.select("id", "s2", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = label.groupBy("label").agg(F.min("first.doc_id").alias("component"))
+    names = label.join(least, "label").select(F.col("id").alias("s1"), "s2", "component")
+    out = profile.drop("bands", "tag").join(names, ["s1", "s2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of buckets whose members have different labels."""
+    at = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    main = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    at = at.join(main, "key").withColumn("stray", F.col("label") != F.col("main"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    visits = at.where("stray and blocks > 1").withColumn("block", F.explode(others)).withColumn("visits", F.lit(1))
+    at = at.withColumn("visits", F.lit(0)).unionByName(visits)
+    at = at.select(F.xxhash64("key", "block").alias("key"), "id", "label", (F.col("band") * 4 + F.col("stray").cast("int") * 2 + F.col("visits")).alias("side"))
+    return _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch")), "id"), _across)
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without all but the first of each component of near duplicates."""
-    gone = near_components(docs).where("not kept").select(F.col("doc_id").alias("of_doc"))
+    gone = near_components(docs).where("not kept").select(F.col("doc_id").alias("of_doc")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["of_doc"], "left_anti")
 
 
