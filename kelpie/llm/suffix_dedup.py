@@ -14,9 +14,10 @@ and an earlier start). Texts are UTF-8 bytes and strings never cross documents.
    anchor's contexts fill several shards, these are merged by binary search among their sorted window classes.
 4. A window that also starts earlier covers its bytes; covered runs of a document are joined and cut out of its text.
 
-Defined results: null and empty texts have nothing to remove (a null text counts as empty); documents with one doc_id
-are one document's copies and compared as such by start only; an empty table gives no rows; other columns are carried
-along by `remove_repeats`.
+Defined results: null and empty texts have nothing to remove (a null text counts as empty); repeated rows are one place,
+and all of them keep what the first keeps; rows of one doc_id with different texts are documents of their own, in the
+order of a hash of their texts; rows with a null doc_id come first, likewise; texts of any length are whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, release, slices, staged, table, text_buffer
+from .common import Rolling, identity, mix, release, slices, staged, table, text_buffer
 
 LENGTH = 100
 K = 24
 SHARD_BYTES = 1 << 20
+#: Windows that are scanned at once.
+SEGMENT = 1 << 24
 
 
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -44,16 +47,23 @@ def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     return best(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
+def _chosen(data: np.ndarray, w: int, k: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place (data starts at `at`) and hash of the anchor of every window."""
+    rolling = Rolling(data)
+    h = (rolling.sums[k:] - rolling.sums[:-k]) * rolling.inverse[: len(data) - k + 1]
+    low = np.uint64((1 << 28) - 1)  # the place stands in for the hash's low bits: the first smallest wins
+    chosen = (_sliding((h & ~low) | np.arange(len(h), dtype=np.uint64), w, np.minimum) & low).astype(np.int64)
+    return chosen + at, h[chosen]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last window start (in the row) and hash of every anchor occurrence of a buffer of texts."""
     w = length - k + 1
     if len(data) < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
-    rolling = Rolling(data)
-    h = (rolling.sums[k:] - rolling.sums[:-k]) * rolling.inverse[: len(data) - k + 1]
-    low = np.uint64((1 << 28) - 1)  # the place in the buffer stands in for the hash's low bits: the first smallest wins
-    chosen = _sliding((h & ~low) | np.arange(len(h), dtype=np.uint64), w, np.minimum) & low
+    pieces = [_chosen(data[i : i + SEGMENT + length - 1], w, k, i) for i in range(0, len(data) - length + 1, SEGMENT)]
+    chosen, hashes = (np.concatenate(x) for x in zip(*pieces, strict=True))
     edge = np.zeros(len(data) + 1, np.int32)  # windows do not cross a text's end
     np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
     np.add.at(edge, offsets[1:], -1)
@@ -62,7 +72,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     first = np.flatnonzero(new & open_)
     stop = np.flatnonzero(np.r_[(new | ~open_)[1:], True] & open_)
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], stop - offsets[row], mix(h[chosen[first].astype(np.int64)])
+    return row, first - offsets[row], stop - offsets[row], mix(hashes[first])
 
 
 def suffix_array(text: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -195,8 +205,11 @@ class Shard:
         return self.number[later], self.offset[later]
 
 
-def shard_spans(group: list[tuple[int, int, int, bytes]], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int, int]]:
-    """Covered spans (doc_id, start, end) among contexts (key, doc_id, start, bytes) of one or more whole anchor groups."""
+def shard_spans(group: list[tuple], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
+    """Covered spans (document, start, end) among contexts (key, document, start, bytes) of one or more whole anchor groups.
+
+    A document is anything that sorts in the order of the corpus.
+    """
     spans, seen, contexts, places = [], {}, [], []
     for key, doc, begin, text in sorted(group, key=lambda r: (r[0], r[1], r[2])):
         if (key, text) in seen:  # earlier as a whole, or the same place of a repeated row
@@ -231,35 +244,42 @@ def shard_spans(group: list[tuple[int, int, int, bytes]], length: int = LENGTH,
     return spans
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text, and rid: one number for doc_id and tag."""
+    doc_id, tag = identity()
+    return docs.select(doc_id.alias("doc_id"), tag.alias("tag"), "text").withColumn("rid", F.xxhash64("doc_id", "tag"))
+
+
 def _repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """doc_id, first, last, anchor of the anchor occurrences whose anchor occurs again."""
+    """rid, first, last, anchor of the anchor occurrences whose anchor occurs again."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 18):
             row, first, last, h = anchors(*text_buffer(b.column("text")), length, k)
-            yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "anchor"])
+            yield pa.record_batch([b.column("rid").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["rid", "first", "last", "anchor"])
 
-    found = staged(docs.mapInArrow(scan, "doc_id long, first int, last int, anchor long"))
+    found = staged(docs.select("rid", "text").mapInArrow(scan, "rid long, first int, last int, anchor long"))
     again = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))  # stored, so that a hot anchor can be split in the join
     out = staged(found.join(again.hint("merge"), "anchor", "left_semi"))
-    release(again)
-    release(found)
+    release(again, found)
     return out
 
 
-SPAN = "key long, doc_id long, start int, stop int, bytes binary"
+SPAN = "key long, doc_id long, tag long, start int, stop int, bytes binary"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """doc_id and spans array<struct<start, stop>>: the byte ranges, unordered and overlapping, that stand earlier too."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= length)
+    """doc_id, tag and spans array<struct<start, stop>>: the byte ranges, unordered and overlapping, that stand earlier
+    too."""
+    docs = _identified(docs).where(F.octet_length("text") >= length)
     kept = _repeated_anchors(docs, length, k)
-    by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("at"))
+    by_doc = kept.groupBy("rid").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("at"))  # repeated rows have one place
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             text = b.column("text").cast(pa.binary()).to_pylist()
-            docs_, at = b.column("doc_id").to_pylist(), b.column("at")
+            docs_, at = list(zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), strict=True)), b.column("at")
             sizes = np.diff(np.asarray(at.offsets))
             firsts, lasts, keys = (np.asarray(at.flatten().field(i)) for i in range(3))
             rows, best, which = [], {}, np.repeat(np.arange(len(text)), sizes).tolist()
@@ -273,39 +293,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     best[key, piece] = me
                     me = old
                 if me is not None:  # covered as a whole; dealt by document
-                    rows.append((me[0] * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF, me[0], me[1], me[1] + len(piece), None))
-            rows += [(key, doc, first, first + len(piece), piece) for (key, piece), (doc, first) in best.items()]
+                    rows.append((me[0][1], *me[0], me[1], me[1] + len(piece), None))
+            rows += [(key, *doc, first, first + len(piece), piece) for (key, piece), (doc, first) in best.items()]
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "doc_id", "start", "stop", "bytes"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "doc_id", "tag", "start", "stop", "bytes"])
 
-    contexts = docs.join(by_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(cut, SPAN).repartition("key").sortWithinPartitions("key")
+    contexts = docs.join(by_doc, "rid").select("doc_id", "tag", "text", "at").mapInArrow(cut, SPAN).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, int, bytes]] = []
+        group: list[tuple] = []
         last, size = None, 0
 
         def out(spans):
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "stop"])
+            rows = [(*doc, start, stop) for doc, start, stop in spans]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:5], strict=True)], ["doc_id", "tag", "start", "stop"])
 
         for b in batches:
             spans = []
-            for key, doc, start, stop, piece in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            for key, doc, tag, start, stop, piece in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if key != last and size > SHARD_BYTES:
                     spans += shard_spans(group, length)
                     group, size = [], 0
                 last = key
                 if piece is None:
-                    spans.append((doc, start, stop))
+                    spans.append(((doc, tag), start, stop))
                 else:
-                    group.append((key, doc, start, piece))
+                    group.append((key, (doc, tag), start, piece))
                     size += len(piece)
             if spans:
                 yield out(spans)
         if group and (spans := shard_spans(group, length)):
             yield out(spans)
 
-    spans = contexts.mapInArrow(compare, "doc_id long, start int, stop int")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = contexts.mapInArrow(compare, "doc_id long, tag long, start int, stop int")
+    found = staged(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    release(kept)
+    return found
 
 
 def kept_ranges(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int, int]:
@@ -326,8 +349,10 @@ def kept_ranges(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and `kept`, the bytes that are left (they may cut a character in two)."""
-    spans = staged(repeated_spans(docs, length, k)).withColumnRenamed("doc_id", "of_doc")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, F.col("doc_id") == F.col("of_doc"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, length, k).select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), "spans")
+    doc_id, tag = identity()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_id.alias("d"), tag.alias("t"))
+    joined = rows.join(spans, (F.col("d") == F.col("of_doc")) & (F.col("t") == F.col("of_tag")), "left").select("doc_id", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
