@@ -5,27 +5,29 @@ that any match holds a piece unharmed; one automaton finds all pieces of all ite
 Myers' bit-parallel distance looks for the whole item. Texts are compared as UTF-8 bytes with A-Z in lower case, whole
 texts against all items.
 
-The items go to the executors in hashed blocks of about BLOCK_BYTES, one pass over the documents for each block, so that
-what is broadcast is bounded however large the benchmark is.
-
-Defined results: null and empty texts match nothing; items that are null or shorter than MIN_ITEM bytes tell too little
-and are not searched for; repeated documents each return their matches, items of one text return one match each; empty
-tables give no rows; other columns are ignored. Of several places of an item in a document, the one with the fewest
+The items go to the executors in blocks of about BLOCK_BYTES, dealt by a hash. The documents are scanned once for each
+block, one after another: a block is on the driver and in a broadcast only while its scan runs, so that both are bounded
+however large the benchmark is; one block holds a benchmark of some 30,000 items. A worker compiles a block once.
+
+Defined results: null and empty texts match nothing; null and blank items are not searched for, all others are, whatever
+their length (one of fewer than ERROR_BYTES bytes has to stand unchanged); texts of any length are searched whole;
+repeated documents each return their matches, those with a null doc_id, too; items of one text return one match each;
+empty tables give no rows; other columns are ignored. Of several places of an item in a document, the one with the fewest
 edits counts, then the first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, table
+from .common import LOWER, WORD_GAP, slices, staged, table
 
 ERROR_BYTES = 12
-MIN_ITEM = 20
 BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 _LOWER = LOWER.tobytes()
@@ -118,21 +120,34 @@ class Matcher:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR_BYTES, min_item: int = MIN_ITEM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_COMPILED: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int, str]], error_bytes: int) -> Matcher:
+    """The compiled block, kept by a worker between its tasks."""
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = Matcher(items, error_bytes)
+    return _COMPILED[name]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance and the byte range of every item that a document holds."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.octet_length("text") >= min_item)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.regexp_replace("text", WORD_GAP, "") != "")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") > 0)
-    found = spark.createDataFrame([], SCHEMA)
+    found = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block)
         rows = [(r["item_id"], r["text"].encode().translate(_LOWER).decode("latin-1")) for r in part.collect()]
-        held = spark.sparkContext.broadcast(rows)
+        if not rows:
+            continue
+        held, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_bytes)
+        def run(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, held.value, error_bytes)
             for b in slices(batches, "text"):
                 hits = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -141,9 +156,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR_B
                 if hits:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
-        if rows:
-            found = found.unionByName(texts.mapInArrow(run, SCHEMA))
-    return found
+        hits = texts.mapInArrow(run, SCHEMA)
+        if blocks > 1:
+            hits = staged(hits)
+            held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

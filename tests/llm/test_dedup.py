@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kelpie.llm import line_dedup, near_dedup, suffix_dedup
+from kelpie.llm.common import text_buffer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -27,7 +29,7 @@ def brute_lines(docs):
     for d, text in sorted(docs, key=lambda x: x[0]):
         for i, line in enumerate((text or "").split("\n")):
             w = WORD.findall(line)
-            if len(w) < line_dedup.MIN_WORDS:
+            if not w:
                 continue
             near = len(w) >= line_dedup.NEAR_WORDS
             if any(w == v or (near and len(v) >= line_dedup.NEAR_WORDS and line_dedup.within_one_edit(w, v)) for v in seen):
@@ -67,6 +69,25 @@ def test_repeated_rows_and_empty_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line, other, near = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    copy = near.replace("c3", "changed")
+    rows = [(1, line), (2, line), (2, other), (3, near), (4, other + "\nx"), (5, copy), (None, copy), (6, "x\n\n \nunlike")]
+    for parts in (1, 5):
+        got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()}
+        assert got == {(1, line, 0), (2, "", 1), (2, other, 0), (3, "", 1), (4, "x", 1), (5, "", 1), (None, copy, 0), (6, "\n \nunlike", 1)}
+
+
+def test_line_keys_do_not_depend_on_structure():
+    """Thue-Morse lines, which collide under polynomial hashes modulo 2**64."""
+    a = ["a"]
+    while len(a) < 4096:
+        a += ["b" if x == "a" else "a" for x in a]
+    lines = [" ".join(a), " ".join("b" if x == "a" else "a" for x in a), "".join(a), "".join("b" if x == "a" else "a" for x in a)]
+    h = line_dedup.LineHashes(*text_buffer(pa.array(lines)))
+    assert len({(int(h.whole(0, np.array([i]))[0]), int(h.whole(1, np.array([i]))[0])) for i in range(4)}) == 4
+
+
 # ---- near dedup
 
 
@@ -120,6 +141,33 @@ def test_near_dedup_keeps_one(spark):
     assert near_dedup.near_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    one, two, three = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(3))
+    rows = [(2, one), (2, two), (3, one + " end"), (4, two + " end"), (5, three), (5, three), (6, three + " x"), (None, three), (7, "")]
+    for parts in (1, 4):
+        got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_components(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()), key=str)
+        assert got == sorted([(2, 2, True), (2, 2, True), (3, 2, False), (4, 2, False), (5, 5, True), (5, 5, True), (6, 5, False), (None, None, True), (7, 7, True)], key=str)
+
+
+def test_links_at_the_limit(spark):
+    """Pairs of a similarity just at 0.75 and just below it, with texts long enough for thousands of shingles."""
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(60):
+        w = [f"{i}of{j}" for j in range(1000)]
+        n, low = 996, i % 2  # 996 shingles; five go with each word changed, far apart
+        shared = 0.75 * 2 * n / 1.75  # this many in common are just enough
+        changes = int((n - shared) / 5) + low
+        other = list(w)
+        for j in rng.sample(range(10, 980, 6), changes):
+            other[j] = "new"
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(other))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        want[2 * i + 1] = 2 * i if 100 * len(a & b) >= 75 * len(a | b) else 2 * i + 1
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d: got[d] for d in want} == want and 20 <= sum(d != c for d, c in want.items()) <= 40
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     one, two, three = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (600, 200, 1))
@@ -196,6 +244,25 @@ def test_repeated_rows_keep_a_copy(spark, slices_of):
     assert got == sorted(x for x in brute_suffix(docs, suffix_dedup.LENGTH).items() for _ in range(2))
 
 
+def test_spans_of_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    one, two, three = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(1, one), (2, two), (2, three), (3, two + "#" + three), (None, one), (None, one), (4, None)]
+    for parts in (1, 4):
+        out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in out) == [("1", 300, 300, 1), ("2", 300, 0, 0), ("2", 300, 0, 0), ("3", 601, 600, 2), ("4", 0, 0, 0), ("None", 300, 0, 0), ("None", 300, 0, 0)]
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_anchors_do_not_depend_on_segments(monkeypatch, segment):
+    rng = random.Random(3)
+    texts = ["a" * 90, "".join(rng.choices("ab", k=200)), "short", "".join(rng.choices("abcdef", k=150))]
+    buffer = text_buffer(pa.array(texts))
+    whole = suffix_dedup.anchors(*buffer, 20, 7)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    assert all((x == y).all() for x, y in zip(whole, suffix_dedup.anchors(*buffer, 20, 7), strict=True))
+
+
 def test_one_place_twice_is_no_repeat():
     text = bytes(range(97, 123)) * 5
     assert suffix_dedup.shard_spans([(1, 4, 7, text), (1, 4, 7, text)], 100) == []

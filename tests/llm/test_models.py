@@ -264,13 +264,13 @@ def test_matches_are_those_of_brute_force():
 
 def test_leaks(spark):
     item = "what is the answer to this very long question about the café"
-    docs = [(1, "x " + item.upper().replace("É", "é") + " y"), (2, item.replace("answer", "answar")), (3, "nothing"), (4, None), (5, ""), (1, item), (None, item), (6, item[:30])]
-    items = [(10, item), (11, item), (12, None), (13, "short"), (14, "")]
+    docs = [(1, "x " + item.upper().replace("É", "é") + " y"), (2, item.replace("answer", "answar")), (3, "nothing"), (4, None), (5, ""), (1, item), (None, item), (6, item[:30]), (7, "a Short one"), (8, "shor t")]
+    items = [(10, item), (11, item), (12, None), (13, "short"), (14, ""), (15, " \t")]
     df = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     for block in (1 << 20, 70):
         got = collections.Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(df, bench, block_bytes=block).collect())
-        assert got == {(d, i, e): n for d, e, n in ((1, 0, 2), (2, 1, 1), (None, 0, 1)) for i in (10, 11)}
+        assert got == {(d, i, e): n for d, e, n in ((1, 0, 2), (2, 1, 1), (None, 0, 1)) for i in (10, 11)} | {(7, 13, 0): 1}
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
