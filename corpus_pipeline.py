@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, each stage over all that the one before kept."""
+"""From raw documents to packed training sequences, each stage over all that the one before kept.
+
+Defined results: null and empty texts score as an empty passage and stay or go by that score, keep their (no) lines, are
+linked with nothing, hold no item and are packed as the closing token alone; rows with a null doc_id pass the same tests
+and are no one's copy in near_dedup; repeated rows are one document: they stay or go together; of equal lines and of near
+copies the smallest doc_id's stays; an empty documents table gives no rows at every stage, one without labels rejects
+nothing (every score is 0.5); other columns are carried along up to the packing.
+"""
 
 from __future__ import annotations
 
