@@ -10,11 +10,11 @@ import base64
 import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TABLE_META
-from ..sources.files import Files
+from ..sources.files import Files, stored
 
 FORMAT = 4
 
@@ -42,6 +42,8 @@ class Manifest:
     next_number: int = 0
     last_seq: int = 0
     tables: tuple[Table, ...] = field(default=())
+    #: The last batch of each stream that is in the tables.
+    streams: tuple[tuple[str, int], ...] = field(default=())
 
     def level(self, n: int) -> list[Table]:
         """Level 0 newest first; others by smallest key. Empty beyond the last level."""
@@ -64,7 +66,7 @@ class Manifest:
 
     def add(self, table: Table) -> Manifest:
         if table.level and any(t.overlaps(table.min_key, table.max_key) for t in self.level(table.level)):
-            raise ValueError("overlapping key range")
+            raise ValueError("the table's keys meet those of another one of its level")
         return replace(self, tables=(*self.tables, table))
 
     def swap(self, removed: set[int], added: list[Table]) -> Manifest:
@@ -76,13 +78,16 @@ class Manifest:
     def for_scan(self, start: bytes, end: bytes) -> list[Table]:
         return [t for t in self.tables if t.meets_scan(start, end)]
 
+    def for_keys(self, lo: bytes, hi: bytes) -> list[Table]:
+        return [t for t in self.tables if t.overlaps(lo, hi)]
+
     def for_key(self, key: bytes) -> list[Table]:
         return [t for t in self.tables if t.min_key <= key <= t.max_key]
 
     def to_json(self) -> str:
         text = lambda b: base64.b64encode(b).decode()
         tables = [{"number": t.number, "level": t.level, "size": t.size, "min_key": text(t.min_key), "max_key": text(t.max_key)} for t in self.tables]
-        return json.dumps({"version": FORMAT, "log_number": self.log_number, "next_number": self.next_number, "last_seq": self.last_seq, "tables": tables})
+        return json.dumps({"version": FORMAT, "log_number": self.log_number, "next_number": self.next_number, "last_seq": self.last_seq, "tables": tables, "streams": dict(self.streams)})
 
     @staticmethod
     def from_json(text: str) -> Manifest:
@@ -90,7 +95,7 @@ class Manifest:
         if x["version"] != FORMAT:
             raise ValueError(f"manifest version {x['version']} is not {FORMAT}")
         tables = tuple(Table(t["number"], t["level"], t["size"], base64.b64decode(t["min_key"]), base64.b64decode(t["max_key"])) for t in x["tables"])
-        return Manifest(x["log_number"], x["next_number"], x["last_seq"], tables)
+        return Manifest(x["log_number"], x["next_number"], x["last_seq"], tables, tuple(sorted(x.get("streams", {}).items())))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(t.number, t.level, t.size, bytearray(t.min_key), bytearray(t.max_key)) for t in self.tables], TABLE_META)
@@ -134,17 +139,31 @@ def table_meta(records: DataFrame, group: str, size) -> DataFrame:
     )
 
 
+#: Tables of a level whose bounds are sent to the tasks; a larger level is joined.
+SENT_TABLES = 200_000
+
+
+def _bounds(tables: DataFrame) -> list[tuple] | None:
+    """Sorted (min_key, max_key, number), if they are few enough."""
+    level = tables.select("min_key", "max_key", "number")
+    if level.limit(SENT_TABLES + 1).count() > SENT_TABLES:
+        return None
+    return sorted((r["min_key"], r["max_key"], r["number"]) for r in level.collect())
+
+
 def key_to_table(keys: DataFrame, tables: DataFrame) -> DataFrame:
     """keys with the number of the table of one disjoint level that contains each, null in gaps.
 
-    The level is a row for each file, which the driver holds anyway; sorted, it goes to the tasks, where a key is found
-    by bisection. No shuffle, and no comparison of every key with every table.
+    Up to SENT_TABLES tables go to the tasks, where a key is found by bisection: no shuffle, and no comparison of every
+    key with every table. Beyond, keys and tables are sorted together and a key takes the last table that starts before.
     """
     from bisect import bisect_right
 
     import pyarrow as pa
 
-    level = sorted((r["min_key"], r["max_key"], r["number"]) for r in tables.select("min_key", "max_key", "number").collect())
+    level = _bounds(tables)
+    if level is None:
+        return _sorted_containment(keys, tables)
     starts = [t[0] for t in level]
 
     def run(batches):
@@ -158,11 +177,50 @@ def key_to_table(keys: DataFrame, tables: DataFrame) -> DataFrame:
     return keys.select("key").mapInArrow(run, f"key {keys.schema['key'].dataType.simpleString()}, number long")
 
 
+def _sorted_containment(keys: DataFrame, tables: DataFrame) -> DataFrame:
+    """Ranges of keys hold their tables and keys in order; the last table of the ranges before is carried over."""
+    hit = F.struct(F.col("min_key"), F.col("max_key"), F.col("number"))
+    both = tables.select(F.col("min_key").alias("key"), F.lit(0).alias("asks"), hit.alias("hit")).unionByName(keys.select("key", F.lit(1).alias("asks")), allowMissingColumns=True)
+    ranged = stored(both.repartitionByRange("key").withColumn("block", F.spark_partition_id()))
+    last = ranged.groupBy("block").agg(F.max("hit").alias("last"))
+    carried = last.select("block", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # a row for each range
+    own = F.max("hit").over(Window.partitionBy("block").orderBy("key", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = ranged.withColumn("own", own).join(F.broadcast(carried), "block").where("asks = 1").withColumn("found", F.coalesce("own", "carried"))
+    return found.select("key", F.when(F.col("key") <= F.col("found.max_key"), F.col("found.number")).alias("number"))
+
+
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of tables (closed key ranges) of two levels that share a key: manifests are a row for each file."""
-    a = left.select(F.col("number").alias("left_number"), F.col("min_key").alias("left_min"), F.col("max_key").alias("left_max"))
-    b = right.select(F.col("number").alias("right_number"), F.col("min_key").alias("right_min"), F.col("max_key").alias("right_max"))
-    return a.join(b, (F.col("left_min") <= F.col("right_max")) & (F.col("left_max") >= F.col("right_min"))).select("left_number", "right_number")
+    """Pairs of tables (closed key ranges) of two levels that share a key.
+
+    Right tables are sorted by their smallest key; those that a left one meets stand in a row if their level is disjoint,
+    and bisection finds it. A right side above SENT_TABLES is joined by range instead.
+    """
+    from bisect import bisect_left, bisect_right
+    from itertools import accumulate
+
+    import pyarrow as pa
+
+    level = _bounds(right)
+    if level is None:
+        a = left.select(F.col("number").alias("left_number"), F.col("min_key").alias("left_min"), F.col("max_key").alias("left_max"))
+        b = right.select(F.col("number").alias("right_number"), F.col("min_key").alias("right_min"), F.col("max_key").alias("right_max"))
+        return a.join(b, (F.col("left_min") <= F.col("right_max")) & (F.col("left_max") >= F.col("right_min"))).select("left_number", "right_number")
+    starts, reach = [t[0] for t in level], list(accumulate((t[1] for t in level), max))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for number, lo, hi in zip(*(b.column(c).to_pylist() for c in ("number", "min_key", "max_key")), strict=True):
+                rows += [(number, t[2]) for t in level[bisect_left(reach, lo) : bisect_right(starts, hi)] if t[1] >= lo]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["left_number", "right_number"])
+
+    return left.select("number", "min_key", "max_key").mapInArrow(run, "left_number long, right_number long")
+
+
+def level_faults(tables: DataFrame) -> DataFrame:
+    """number and level of tables that start within the one before them in a level that has to be disjoint."""
+    w = Window.partitionBy("level").orderBy("min_key", "number").rowsBetween(Window.unboundedPreceding, -1)
+    return tables.where("level > 0").withColumn("reach", F.max("max_key").over(w)).where("min_key <= reach").select("number", "level")
 
 
 def replace_tables(tables: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

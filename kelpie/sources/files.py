@@ -2,7 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name below the folder that all executors share; a temporary folder stands in for it in a single process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="kelpie-")
+        atexit.register(shutil.rmtree, own, True)
+        base = "file://" + own
+    return f"{base.rstrip('/')}/kelpie-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, for what has to be the same in several jobs; removed at exit."""
+    spark, path, schema = df.sparkSession, shared_folder(df.sparkSession), df.schema
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            Files(spark).delete(path)
+        except Exception:  # the session has ended; the cluster clears its folder
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(schema).parquet(path)
 
 
 class Files:
@@ -36,14 +69,17 @@ class Files:
         fs, target = self._at(path)
         return fs.getContentSummary(target).getLength()
 
-    def read_text(self, path: str) -> str:
+    def read_bytes(self, path: str) -> bytes:
         fs, target = self._at(path)
         stream = fs.open(target)
         try:
-            return bytes(stream.readAllBytes()).decode("utf-8")
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
+    def read_text(self, path: str) -> str:
+        return self.read_bytes(path).decode("utf-8")
+
     def write_text(self, path: str, text: str) -> None:
         """Written beside the target and renamed, so that the target is whole or absent."""
         self.before("write", path)

@@ -36,8 +36,9 @@ class Corrupt(ValueError):
 
 
 def encode_batch(records: Iterable[Record]) -> bytes:
-    """One committed frame."""
-    payload = b"".join(b"%s,%d,%d,%s=%d,%s\n" % (b"D" if kind == TOMBSTONE else b"P", seq, len(key), key, len(value), value) for key, seq, kind, value in records)
+    """One committed frame: the number of records, then each of them."""
+    records = list(records)
+    payload = b"%d," % len(records) + b"".join(b"%s,%d,%d,%s=%d,%s\n" % (b"D" if kind == TOMBSTONE else b"P", seq, len(key), key, len(value), value) for key, seq, kind, value in records)
     return FRAME_START + struct.pack("<Q", len(payload)) + payload + struct.pack("<I", zlib.crc32(payload)) + FRAME_END
 
 
@@ -63,8 +64,9 @@ def _number(payload: bytes, at: int, stop: bytes) -> tuple[int, int]:
 
 
 def parse_batch(payload: bytes) -> list[Record]:
-    out, at = [], 0
-    while at < len(payload):
+    count, at = _number(payload, 0, b",")
+    out: list[Record] = []
+    while len(out) < count:
         op = payload[at : at + 2]
         if op not in (b"P,", b"D,"):
             raise Corrupt("operation in a log record")
@@ -79,6 +81,8 @@ def parse_batch(payload: bytes) -> list[Record]:
             raise Corrupt("value in a log record")
         at += 1
         out.append((key, seq, int(op == b"D,"), value))
+    if at != len(payload):
+        raise Corrupt("bytes after the records of a batch")
     return out
 
 
@@ -103,6 +107,12 @@ def parse_log(data: bytes) -> tuple[list[Record], int]:
     return out, at
 
 
+def reopen_log(data: bytes) -> tuple[list[Record], bytes]:
+    """The committed records, and the log without an unfinished last append, to which batches can be appended."""
+    records, end = parse_log(data)
+    return records, data[:end]
+
+
 def _later_frame(data: bytes, at: int) -> bool:
     while (at := data.find(FRAME_START, at)) >= 0:
         found = _frame(data, at)
@@ -263,7 +273,7 @@ def parse_manifest(data: bytes) -> Manifest:
 # ---- as DataFrames
 
 
-def _rows(spark: SparkSession, path: str, parse) -> DataFrame:
+def _rows(spark: SparkSession, path: str | list[str], parse) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content").to_pylist():
@@ -275,16 +285,56 @@ def _rows(spark: SparkSession, path: str, parse) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Committed records of all logs at path (a file, a folder or a pattern)."""
     return _rows(spark, path, lambda data: parse_log(data)[0])
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All versions of all tables at path, checksums verified."""
     return _rows(spark, path, lambda data: parse_records(table_parts(data)[0]))
 
 
+def log_images(records: DataFrame, run: str, batch: int) -> DataFrame:
+    """run and content: the log of each group of records, in batches of so many by sequence."""
+    import pandas as pd
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        rows = [(bytes(k), int(s), int(t), bytes(v or b"")) for k, s, t, v in zip(pdf["key"], pdf["seq"], pdf["type"], pdf["value"], strict=True)]
+        content = LOG_HEADER + b"".join(encode_batch(rows[i : i + batch]) for i in range(0, len(rows), batch))
+        return pd.DataFrame({"run": [int(pdf[run].iloc[0])], "content": [content]})
+
+    return records.groupBy(run).applyInPandas(image, "run long, content binary")
+
+
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All versions of a folder in the exchange formats: the tables that its manifest names and its logs from the manifest's
+    on (folder/MANIFEST, folder/sstable/sst_<n>.sst, folder/wal/wal_<n>.wal)."""
+    from .files import Files
+
+    files = Files(spark)
+    manifest = parse_manifest(files.read_bytes(f"{folder}/MANIFEST")) if files.exists(f"{folder}/MANIFEST") else Manifest()
+    tables = [f"{folder}/sstable/sst_{n}.sst" for n in manifest.numbers()]
+    logs = [n for n in files.names(f"{folder}/wal") if n.startswith("wal_") and n.endswith(".wal") and n[4:-4].isdigit() and int(n[4:-4]) >= manifest.log_number]
+    out = spark.createDataFrame([], RECORD)
+    if tables:
+        out = out.unionByName(read_tables(spark, tables))
+    return out.unionByName(read_logs(spark, [f"{folder}/wal/{n}" for n in logs])) if logs else out
+
+
+def find_in_tables(images: DataFrame, probes: DataFrame) -> DataFrame:
+    """run, key, seq, type: the newest version of each probe (run, key) in the table image (run, content) of its run."""
+    import pandas as pd
+
+    def look(images: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        content = bytes(images["content"].iloc[0]) if len(images) else None
+        found = [(r, bytes(k), hit[1], hit[2]) for r, k in zip(probes["run"], probes["key"], strict=True) if content and (hit := find_in_table(content, bytes(k)))]
+        return pd.DataFrame(found, columns=["run", "key", "seq", "type"])
+
+    return images.groupBy("run").cogroup(probes.groupBy("run")).applyInPandas(look, "run long, key binary, seq long, type byte")
+
+
 def table_images(records: DataFrame, run: str) -> DataFrame:
     """run and content: the file image of each group of records that makes a table."""
     import pandas as pd

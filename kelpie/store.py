@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import entry_size
@@ -81,6 +81,12 @@ class Store:
         self.pins: Counter = Counter()
         self.cursors: dict[int, bytes] = {}
         self._vacuum()
+        self.streams = dict(self.manifest.streams)
+        for name in self.files.names(self._log()):
+            if "_of_" in name:
+                stream, number = name.split("_of_")[1].split("_")
+                stream = bytes.fromhex(stream).decode()
+                self.streams[stream] = max(int(number), self.streams.get(stream, -1))
         stats = self.tail().agg(F.max("seq"), F.sum(entry_size())).first()
         self.next_seq = max(self.manifest.last_seq, stats[0] or 0) + 1
         self.tail_bytes = stats[1] or 0
@@ -103,18 +109,25 @@ class Store:
         size = sum(len(k) + len(v) + 9 for _, k, v in batch.rows)
         return self._append(self.spark.createDataFrame(rows, RECORD).coalesce(1), len(rows), size)
 
-    def write_frame(self, ops: DataFrame) -> bool:
-        """A batch of any size: op_idx, op, key, value."""
+    def write_frame(self, ops: DataFrame, stream: tuple[str, int] | None = None) -> bool:
+        """A batch of any size: op_idx, op, key, value.
+
+        stream: name and number of a stream's batch; one that is in the store already is not written again.
+        """
         if self.failed:
             return False
+        if stream and stream[1] <= self.streams.get(stream[0], -1):
+            return True
         ops = ops.select(*[F.col(f.name).cast(f.dataType) for f in OPERATION.fields])
         stats = ops.agg(F.count("*"), F.sum(F.octet_length("key") + F.when(F.col("op") == "remove", 0).otherwise(F.coalesce(F.octet_length("value"), F.lit(0))) + 9)).first()
-        return not stats[0] or self._append(assign_sequence(ops, self.next_seq - 1), stats[0], stats[1])
+        return not stats[0] or self._append(assign_sequence(ops, self.next_seq - 1), stats[0], stats[1], stream)
 
-    def _append(self, records: DataFrame, count: int, size: int) -> bool:
+    def _append(self, records: DataFrame, count: int, size: int, stream: tuple[str, int] | None = None) -> bool:
         first = self.next_seq
         self.next_seq += count  # a failed batch uses its sequences up
         place = f"{self._log()}/batch_{first}"
+        if stream:  # the name says in one step that the batch is there and whose it is
+            place += f"_of_{stream[0].encode().hex()}_{stream[1]}"
         try:
             records.write.parquet(f"{self._log()}/.new_{first}")
             self.files.rename(f"{self._log()}/.new_{first}", place)
@@ -122,6 +135,8 @@ class Store:
             self.failed = True
             return False
         self.tail_bytes += size
+        if stream:
+            self.streams[stream[0]] = stream[1]
         if self.tail_bytes > self.flush_bytes:
             try:
                 self.flush()
@@ -154,7 +169,11 @@ class Store:
         return bytes(found[0]["value"]) if found else None
 
     def multi_get(self, probes: DataFrame, read_seq: int | None = None) -> DataFrame:
-        return reads.multi_get(self.log(), probes, read_seq)
+        """Only tables that meet the range of the probes' keys are opened."""
+        ends = probes.agg(F.min("key"), F.max("key")).first()
+        live = [] if ends[0] is None else self.manifest.for_keys(bytes(ends[0]), bytes(ends[1]))
+        log = self.tail().unionByName(self._read([self._table(t.number) for t in live]))
+        return reads.multi_get(log, probes, read_seq)
 
     def snapshot(self) -> Snapshot:
         return Snapshot(self.pins, self.next_seq - 1)
@@ -180,7 +199,7 @@ class Store:
             self._write_table(number, tail)
             table = Table(number, 0, self.files.size(self._table(number)), bytes(bounds[0]), bytes(bounds[1]))
             old = self._log()
-            self._publish(replace(staged.add(table), log_number=log_number, last_seq=self.next_seq - 1))
+            self._publish(replace(staged.add(table), log_number=log_number, last_seq=self.next_seq - 1, streams=tuple(sorted(self.streams.items()))))
             self.tail_bytes = 0
             self.files.delete(old)
             self.maybe_compact()
@@ -246,9 +265,8 @@ class Store:
         return self.spark.read.schema(RECORD).parquet(*paths) if paths else self.spark.createDataFrame([], RECORD)
 
     def _write_table(self, number: int, records: DataFrame) -> None:
-        """Rows of one key stay together and in order; the key's Bloom filter and page index serve point reads."""
-        nth = F.row_number().over(Window.partitionBy("key", "seq").orderBy(F.desc("value")))
-        records = records.withColumn("nth", nth).where("nth = 1").drop("nth")
+        """Rows by key and newest first (a sequence is given once, so nothing ties); the key's Bloom filter and page index
+        serve point reads."""
         beside = f"{self.folder}/tables/.new_{number}"
         ordered = records.repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"))
         ordered.write.option("parquet.bloom.filter.enabled#key", "true").parquet(beside)

@@ -1,5 +1,7 @@
 """Byte formats: goldens, round trips, damage."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ FRAME = formats.encode_batch(RECORDS)
 
 def test_log_golden():
     assert FRAME[:4] == b"WFRM" and FRAME[-4:] == b"WCMT"
-    assert FRAME[12:-8] == b"P,1,3,key=5,first\nD,2,3,key=0,\nP,3,3,key=4,last\n"
+    assert FRAME[12:-8] == b"3,P,1,3,key=5,first\nD,2,3,key=0,\nP,3,3,key=4,last\n"
 
 
 def test_log_round_trip():
@@ -38,6 +40,41 @@ def test_damage_is_an_error(data):
         formats.parse_log(data)
 
 
+def frame_of(payload):
+    """A frame made from the format's description alone."""
+    return b"WFRM" + len(payload).to_bytes(8, "little") + payload + zlib.crc32(payload).to_bytes(4, "little") + b"WCMT"
+
+
+def test_a_log_from_its_description():
+    data = b"LWAL\x02" + frame_of(b"3,P,1,3,key=5,first\nD,2,3,key=0,\nP,3,3,key=4,last\n") + frame_of(b"0,")
+    assert formats.parse_log(data) == (RECORDS, len(data))
+
+
+@pytest.mark.parametrize("payload", [b"", b"P,1,1,a=1,b\n", b"2,P,1,1,a=1,b\n", b"1,P,1,1,a=1,b\nP,2,1,a=1,b\n", b"1,P,1,99,a=1,b\n", b"1,P,1,1,a=99,b\n", b"1,P,1,1,a=99999999999999999999,b\n", b"99999999999999999999,P,1,1,a=1,b\n", b"1,X,1,1,a=1,b\n", b"-1,"])
+def test_counts_that_do_not_fit(payload):
+    with pytest.raises(Corrupt):
+        formats.parse_log(formats.LOG_HEADER + frame_of(payload))
+
+
+def test_appends_after_a_torn_tail():
+    for tail in (b"\0" * 30, b"garbage", FRAME[:-1], FRAME[:10]):
+        records, kept = formats.reopen_log(formats.LOG_HEADER + FRAME + tail)
+        assert records == RECORDS and formats.parse_log(kept + formats.encode_batch(ODD))[0] == RECORDS + ODD
+
+
+def test_a_folder_of_logs_and_tables(spark, tmp_path):
+    for sub in ("wal", "sstable"):
+        (tmp_path / sub).mkdir()
+    assert formats.read_store(spark, str(tmp_path)).count() == 0
+    (tmp_path / "wal" / "wal_1.wal").write_bytes(b"LWAL\x02broken and not read")
+    (tmp_path / "wal" / "wal_3.wal").write_bytes(formats.LOG_HEADER + FRAME + b"torn")
+    (tmp_path / "sstable" / "sst_2.sst").write_bytes(formats.encode_table(ODD))
+    (tmp_path / "sstable" / "sst_9.sst").write_bytes(b"of no manifest")
+    (tmp_path / "MANIFEST").write_bytes(formats.encode_manifest(Manifest(3, 10, 9, (Table(2, 0, 1, b"", b"line\nkey"),))))
+    got = formats.read_store(spark, str(tmp_path)).collect()
+    assert sorted((bytes(r["key"]), r["seq"], r["type"], bytes(r["value"])) for r in got) == sorted(RECORDS + ODD)
+
+
 def test_record_goldens():
     assert formats.encode_record((b"a", 0x0102030405060708, 0, b"xy")).hex() == "000807060504030201010000000200000061787976" + "0ae8e6"
     assert formats.encode_record((b"long", 0x1112131415161718, 0, b"")).hex() == "00181716151413121104000000000000006c6f6e678bd0d436"

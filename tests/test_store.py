@@ -177,3 +177,31 @@ def test_stream_into_store(spark, folder, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     ingest.stream_into(s, stream, str(tmp_path / "checkpoint")).awaitTermination()
     assert everything(s) == {str(i): str(90 + i) for i in range(10)}
+
+
+def test_a_stream_batch_is_applied_once(spark, folder):
+    s = Store(spark, folder)
+    ops = spark.createDataFrame([(0, "put", bytearray(b"a"), bytearray(b"1"))], "op_idx long, op string, key binary, value binary")
+    assert s.write_frame(ops, ("in", 0)) and s.write_frame(ops, ("in", 0)) and s.write_frame(ops, ("other", 0))
+    assert s.next_seq == 3
+    again = Store(spark, folder)
+    assert again.streams == {"in": 0, "other": 0} and again.write_frame(ops, ("in", 0)) and again.next_seq == 3
+    again.flush()
+    after = Store(spark, folder)
+    assert after.write_frame(ops, ("in", 0)) and after.next_seq == 3 and after.write_frame(ops, ("in", 1)) and after.next_seq == 4
+
+
+def test_views_keep_changes_and_merge_them(spark, tmp_path):
+    rows = [(f"k{i % 7}", i, i % 5 == 0, str(i)) for i in range(60)]
+    source = str(tmp_path / "in")
+    for i in range(6):
+        spark.createDataFrame([(k, s, int(t), v) for k, s, t, v in rows[i * 10 : i * 10 + 10]], "key string, seq long, type int, value string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("key string, seq long, type int, value string").option("maxFilesPerTrigger", 1).parquet(source)
+    target = str(tmp_path / "view")
+    ingest.latest_view(stream, target, str(tmp_path / "checkpoint"), every=4).awaitTermination()
+    newest = {k: (s, t, v) for k, s, t, v in rows}
+    got = {r["key"]: (r["seq"], bool(r["type"]), r["value"]) for r in ingest.read_view(spark, target, 6).collect()}
+    assert got == {k: x for k, x in newest.items() if not x[1]}
+    import os
+
+    assert sorted(x for x in os.listdir(target) if not x.startswith(".")) == ["change_4", "change_5", "whole_3"]
