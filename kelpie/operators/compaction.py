@@ -36,5 +36,13 @@ def next_table(tables: DataFrame, level: int, cursor) -> DataFrame:
 
 def overlapping(tables: DataFrame, chosen: DataFrame, level: int) -> DataFrame:
     """Tables of a level that share a key with a chosen table's closed range."""
-    c = chosen.select(F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
-    return tables.where(F.col("level") == level).join(c, (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")), "left_semi")
+    from ..plans.manifest import overlaps
+
+    own = tables.where(F.col("level") == level)
+    hits = overlaps(chosen, own).select(F.col("right_number").alias("number")).distinct()
+    return own.join(hits, "number", "left_semi").select(*tables.columns)
+
+
+def first_over_budget(tables: DataFrame, base_bytes: int) -> DataFrame:
+    """No or one row: the first level whose bytes exceed its budget."""
+    return level_sizes(tables, base_bytes).where("over").orderBy("level").limit(1).select("level", "size", "budget")

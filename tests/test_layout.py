@@ -31,6 +31,24 @@ def test_fold_does_not_depend_on_blocks(spark, block, threshold):
     assert got == plain_fold(sizes, threshold)
 
 
+@pytest.mark.parametrize("threshold", [0, 40, 200])
+def test_maps_are_composed_in_a_tree(spark, monkeypatch, threshold):
+    monkeypatch.setattr(layout, "FAN", 3)
+    random.seed(threshold)
+    sizes = [random.choice([1, 7, 30, 90]) for _ in range(150)]
+    df = spark.createDataFrame([(i, s, i // 6 + (i > 80) * 4) for i, s in enumerate(sizes)], "i long, size long, block long")
+    got = layout.fold(df, "block", ["i"], "size", threshold).orderBy("i").collect()
+    assert [r["run"] for r in got] == plain_fold(sizes, threshold)
+    assert [r["at"] for r in got] == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+def test_small_blocks_give_the_same_layout(spark):
+    rows = [(f"k{i % 40:02d}", i, 0, "v" * (i % 23)) for i in range(300)]
+    df = records(spark, rows)
+    for f, columns in ((layout.flush_runs, ["seq", "run"]), (layout.slices, ["key", "seq", "run"]), (layout.index_blocks, ["run", "key", "offset"])):
+        assert sorted(f(df, 500, 300).select(columns).collect()) == sorted(f(df, 500).select(columns).collect())
+
+
 def records(spark, rows):
     return spark.createDataFrame(rows, "key string, seq long, type byte, value string")
 
@@ -127,3 +145,12 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert bloom.probe(absent, filled, bits, hashes).where("maybe").count() < 0.03 * 4000
     expected = {p for i in range(1500) for p in formats.positions(f"key{i}".encode(), bits, hashes)}
     assert {r["position"] for r in filled.collect()} == expected
+
+
+def test_a_level_too_large_to_send(spark, monkeypatch):
+    level = tables(spark, [(i, 1, 1, f"{i:03d}c", f"{i:03d}m") for i in range(0, 90, 2)])
+    keys = spark.createDataFrame([(f"{i:03d}{c}",) for i in range(92) for c in "acgmz"] + [("",), (None,)], "key string")
+    wide = tables(spark, [(1, 0, 1, "004a", "010a"), (2, 0, 1, "", "001"), (3, 0, 1, "070m", "080c"), (4, 0, 1, "088z", "zzz")])
+    small = [sorted(map(str, f(a, level).collect())) for f, a in ((plans.key_to_table, keys), (plans.overlaps, wide))]
+    monkeypatch.setattr(plans, "SENT_TABLES", 10)
+    assert [sorted(map(str, f(a, level).collect())) for f, a in ((plans.key_to_table, keys), (plans.overlaps, wide))] == small
