@@ -6,11 +6,6 @@ The change log of all of them is made of `events`: key = user_id as text, seq =
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +13,8 @@ from .functions import scalars
 from .operators import bloom, changelog, compaction, layout, reads
 from .plans import manifest as plans
 from .sources import formats
-from .store import Batch, Store
+from .sources.files import Files, shared_folder
+from .store import Store
 from .streaming import ingest
 
 #: Parameters of the queries.
@@ -292,13 +288,17 @@ _LE = lambda x, n: " || ".join(f"printf('%02X', ({x} >> {8 * i}) & 255)" for i i
 _FNV = """list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, strlen(key) + 1), lambda i: ('0x' || hex(encode(key))[2 * i - 1 : 2 * i])::hugeint)),
   lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"""
 
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(image) // 2 + 1), lambda i: ('0x' || image[2 * i - 1 : 2 * i])::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))"""
+
 
 @query("encode_record", f"with {LOG} select seq, printf('%02X', type) || {_LE('seq', 8)} || {_LE('strlen(key)', 4)} || {_LE('strlen(value)', 4)} || hex(encode(key)) || hex(encode(value)) as image from log")
 def encode_record(spark, d):
     return log(spark, d).select("seq", F.hex(scalars.encode_record(F.col("key"), F.col("seq"), F.col("type"), F.col("value"))).alias("image"))
 
 
-@query("crc32_record")
+@query("crc32_record", f"""with {LOG}, images as (select seq, printf('%02X', type) || {_LE('seq', 8)} || {_LE('strlen(key)', 4)} || {_LE('strlen(value)', 4)} || hex(encode(key)) || hex(encode(value)) as image from log)
+  select seq, xor({_CRC}, 4294967295)::bigint as checksum from images""")
 def crc32_record(spark, d):
     return log(spark, d).select("seq", scalars.record_checksum(F.col("key"), F.col("seq"), F.col("type"), F.col("value")).alias("checksum"))
 
@@ -358,17 +358,73 @@ def table_images(spark, d):
     return out.select(F.col("key").cast("string").alias("key"), "seq", "type", F.col("value").cast("string").alias("value"))
 
 
-# ---- the store and streams
+def _binary(df):
+    return df.withColumns({"key": F.col("key").cast("binary"), "value": F.col("value").cast("binary")})
+
+
+@query("wal_replay", f"with {LOG} select key, seq, type, value from log")
+def wal_replay(spark, d):
+    """The log as write-ahead logs of committed batches, read back."""
+    images = formats.log_images(_binary(log(spark, d)).withColumn("run", F.expr("seq div 2500")), "run", 100)
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for content in b.column("content").to_pylist():
+                rows = formats.parse_log(content)[0]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int8(), pa.binary()), strict=True)], ["key", "seq", "type", "value"])
+
+    out = images.select("content").mapInArrow(parse, "key binary, seq long, type byte, value binary")
+    return out.withColumns({"key": F.col("key").cast("string"), "value": F.col("value").cast("string")})
+
+
+@query("table_lookup", f"with recursive {LOG}, {FLUSH}, {FLUSHED} select run, key, seq, type from flushed qualify row_number() over (partition by run, key order by seq desc) = 1")
+def table_lookup(spark, d):
+    """Every key of every flush, and one that is in none, looked up in the flush's table image."""
+    rows = _binary(flushed(spark, d))
+    probes = rows.select("run", "key").distinct()
+    absent = rows.select("run", F.lit("none").cast("binary").alias("key")).distinct()
+    found = formats.find_in_tables(formats.table_images(rows, "run"), probes.union(absent))
+    return found.withColumn("key", F.col("key").cast("string"))
+
+
+INDEX = f"with recursive {LOG}, {folds('block', 'log', 'key, seq desc', 'strlen(key) + strlen(value) + 21', BLOCK_BYTES)}, g as (select f.run, arg_min(r.key, rn) as key, sum(r.b)::bigint as bytes from block f join block_rows r using (rn) group by f.run), idx as (select run, key, coalesce(sum(bytes) over (order by run rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from g)"
+
+
+@query("index_lookup", f"{INDEX}, p as (select distinct cast(c_custkey as varchar) as key from customer) select p.key, case when p.key >= (select min(key) from idx) then coalesce((select max(\"offset\") from idx where idx.key < p.key), 0) end as \"offset\" from p")
+def index_lookup(spark, d):
+    keys = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    return layout.index_lookup(layout.index_blocks(log(spark, d), BLOCK_BYTES), keys)
+
+
+@query("index_faults", f"{INDEX}, broken as (select case when run % 5 = 2 then '~' else key end as key, \"offset\" from idx) select key, \"offset\" from broken qualify lag(key) over (order by \"offset\") > key")
+def index_faults(spark, d):
+    """The index with every fifth key replaced by a great one."""
+    rows = log(spark, d)
+    index = layout.index_blocks(rows, BLOCK_BYTES).select(F.when(F.col("run") % 5 == 2, "~").otherwise(F.col("key")).alias("key"), "offset")
+    return layout.index_faults(index, rows.agg(F.sum(scalars.encoded_size())).first()[0] or 0)
 
 
-def scratch(spark) -> str:
-    """A new folder below the shared one; its own temporary one where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = tempfile.mkdtemp(prefix="kelpie-")
-        atexit.register(shutil.rmtree, own, True)
-        base = "file://" + own
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+@query("first_over_budget", f"{LEVELS} select level, sum(size)::bigint as size, ({BASE_BYTES} * 10 ** (level - 1))::bigint as budget from levels where level >= 1 group by level having sum(size) > {BASE_BYTES} * 10 ** (level - 1) order by level limit 1")
+def first_over_budget(spark, d):
+    return compaction.first_over_budget(levels(spark, d), BASE_BYTES)
+
+
+@query("level_faults", f"{LEVELS}, one_level as (select number, 1 as level, min_key, max_key from levels) select number, level from one_level qualify min_key <= max(max_key) over (order by min_key, number rows between unbounded preceding and 1 preceding)")
+def level_faults(spark, d):
+    """Tables of both levels, put into one that has to be disjoint."""
+    return plans.level_faults(levels(spark, d).withColumn("level", F.lit(1)))
+
+
+@query("bloom_image", f"with {_KEYS}, {_POSITIONS}, b as (select distinct ((hi + i * lo) % bits)::bigint as position from half, par, range(hashes) t(i)), bytes as (select t.byte, coalesce(sum(1 << (position % 8)::int) filter (position is not null), 0)::bigint as v from par, range((bits + 63) // 64 * 8) t(byte) left join b on position // 8 = t.byte group by t.byte) select {_LE('bits', 8)} || {_LE('hashes', 8)} || (select string_agg(printf('%02X', v), '' order by byte) from bytes) as image from par")
+def bloom_image(spark, d):
+    keys = customer_keys(spark, d)
+    bits, hashes = scalars.bloom_parameters(keys.count())
+    return bloom.image(bloom.build(keys, bits, hashes), bits, hashes).select(F.hex("image").alias("image"))
+
+
+# ---- the store and streams
 
 
 def operations(spark, d):
@@ -379,7 +435,7 @@ def operations(spark, d):
 @query("store_scan", f"with {LOG}, {NEWEST} select key, n.seq, value from (select key, value, type, (select count(*) from log l where l.seq <= newest.seq) as seq from newest) n where type = 0")
 def store_scan(spark, d):
     """Three batches through log, flush, compaction and scan."""
-    store = Store(spark, scratch(spark), flush_bytes=1 << 40, slice_bytes=1 << 20)
+    store = Store(spark, shared_folder(spark), flush_bytes=1 << 40, slice_bytes=1 << 20)
     ops = operations(spark, d)
     n = ops.agg(F.max("op_idx")).first()[0] or 0
     for i in range(3):
@@ -390,19 +446,66 @@ def store_scan(spark, d):
     return found.select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
 
 
-@query("store_batches", "select * from (values ('alpha', 4::bigint, 'new'), ('fresh', 6::bigint, 'new-value')) t(key, seq, value)")
-def store_batches(spark, d):
-    store = Store(spark, scratch(spark))
-    store.write(Batch().put(b"alpha", b"old").put(b"deleted", b"visible"))
-    store.flush()
-    store.write(Batch().put(b"deleted", b"again").put(b"alpha", b"new").remove(b"deleted").put(b"fresh", b"new-value"))
-    return store.scan(b"", b"~").select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+def written(spark, d, flushed: bool) -> tuple[Store, list]:
+    """A store of three batches of the operations and a snapshot after each."""
+    store = Store(spark, shared_folder(spark), flush_bytes=1 << 40, slice_bytes=1 << 20)
+    ops = operations(spark, d)
+    n, snaps = ops.agg(F.max("op_idx")).first()[0] or 0, []
+    for i in range(3):
+        store.write_frame(ops.where((F.col("op_idx") >= i * (n // 3)) & ((F.col("op_idx") < (i + 1) * (n // 3)) if i < 2 else F.lit(True))))
+        snaps.append(store.snapshot())
+        if flushed or i < 2:
+            store.flush()
+    return store, snaps
+
+
+RANKED = "ranked as (select key, row_number() over (order by seq) as seq, type, value from log)"
+CUTS = "cuts as (select 0 as snap, (select count(*) from events where event_id < (select max(event_id) // 3 from events)) as cut union all select 1, (select count(*) from events where event_id < (select max(event_id) // 3 * 2 from events)) union all select 2, (select count(*) from events))"
+
+
+@query("store_snapshots", f"with {LOG}, {RANKED}, {CUTS} select snap, key, seq, value from (select * from ranked join cuts on seq <= cut qualify row_number() over (partition by snap, key order by seq desc) = 1) where type = 0")
+def store_snapshots(spark, d):
+    """What each open snapshot sees after flushes and a compaction."""
+    store, snaps = written(spark, d, True)
+    store.compact()
+    found = [store.scan(b"", b"~", s.seq).select(F.lit(i).alias("snap"), F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value")) for i, s in enumerate(snaps)]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("store_readers", f"with {CUTS} select snap, (3 - snap)::int as active, cut::bigint as oldest from cuts")
+def store_readers(spark, d):
+    """Open snapshots and the oldest sequence that is read, while they are closed one by one."""
+    store, snaps = written(spark, d, True)
+    rows = []
+    for i, s in enumerate(snaps):
+        rows.append((i, store.active_snapshots, store.oldest_reader()))
+        s.close()
+    return spark.createDataFrame(rows, "snap int, active int, oldest long")
+
+
+@query("store_recovery", f"with {LOG}, {RANKED} select key, seq, value from (select * from ranked qualify row_number() over (partition by key order by seq desc) = 1) where type = 0")
+def store_recovery(spark, d):
+    """A store that is opened again with an unflushed tail and the leftovers of a failed writer."""
+    store, _ = written(spark, d, False)
+    files = Files(spark)
+    for left in ("tables/.new_77", "tables/table_77", "log/log_0/.new_5"):
+        files.make_folder(f"{store.folder}/{left}")
+    again = Store(spark, store.folder)
+    assert not any(files.exists(f"{store.folder}/{x}") for x in ("tables/.new_77", "tables/table_77", "log/log_0"))
+    return again.scan(b"", b"~").select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query("store_multi_get", f"with {LOG}, {RANKED}, n as (select * from ranked qualify row_number() over (partition by key order by seq desc) = 1) select p.key, case when n.type is null then 'ABSENT' when n.type = 1 then 'TOMBSTONE' else 'VALUE' end as state, n.seq from (select cast(c_custkey as varchar) as key from customer) p left join n using (key)")
+def store_multi_get(spark, d):
+    store, _ = written(spark, d, False)
+    probes = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").cast("binary").alias("key"))
+    return store.multi_get(probes).select(F.col("key").cast("string").alias("key"), "state", "seq")
 
 
 @query("stream_latest", f"with {LOG}, {NEWEST} select key, seq, value from newest where type = 0")
 def stream_latest(spark, d):
     """The log as a stream of files, kept as the newest version of each key."""
-    place = scratch(spark)
+    place = shared_folder(spark)
     log(spark, d).repartition(3).write.parquet(f"{place}/in")
     schema = spark.read.parquet(f"{place}/in").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")

@@ -29,9 +29,6 @@ def rows(columns, found):
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, FOLDER)
     got = df.collect()
-    if name not in catalogue.ORACLES:
-        assert name == "crc32_record" and got
-        return
     found = duck.sql(catalogue.ORACLES[name])
     assert sorted(df.columns) == sorted(found.columns)
     assert rows(df.columns, got) == rows(found.columns, found.fetchall())
