@@ -293,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     best[key, piece] = me
                     me = old
                 if me is not None:  # covered as a whole; dealt by document
-                    rows.append((me[0][1], *me[0], me[1], me[1] + len(piece), None))
+                    rows.append(((me[0][0] * 0x9E3779B97F4A7C15 ^ me[0][1]) & 0x7FFFFFFFFFFFFFFF, *me[0], me[1], me[1] + len(piece), None))
             rows += [(key, *doc, first, first + len(piece), piece) for (key, piece), (doc, first) in best.items()]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "doc_id", "tag", "start", "stop", "bytes"])
