@@ -11,9 +11,10 @@ Documents with a Jaccard similarity of 0.75 or more are linked, and a component
    missed with a probability below 0.0002, one at 0.8 below 0.00001.
 4. In a bucket the sketches' agreement estimates the similarity. `forest` takes from each bucket a spanning forest of
    its likeliest links, so a bucket of n gives fewer than n pairs. They are verified on the full sets and components
-   are made of the true links. `rest` then takes every pair of a bucket that is still in different components, whose set
-   sizes allow the similarity and which a sketch of LONG bins does not put five standard deviations below it (a pair at
-   0.75 is lost so with a probability below 0.000001).
+   are made of the true links. `rest` then takes every pair of a bucket that is still in different components and whose
+   set sizes allow the similarity. Sets of up to SMALL members are compared there in 16 bits a member, which can only
+   find too much in common, so no link is lost; of larger ones, pairs are taken that a sketch of LONG bins does not put
+   five standard deviations below the limit (a pair at 0.75 is lost so with a probability below 0.000001).
 5. Verification deals pairs in parts of bounded size; a set travels once to each part that needs it, not once for each
    pair.
 
@@ -47,6 +48,8 @@ BANDS, ROWS = 32, 5
 T = BANDS * ROWS
 #: Bins of the sketch by which the remaining pairs are chosen.
 LONG = 512
+#: Members of sets that are compared themselves instead.
+SMALL = 1024
 
 
 BLOCK = 500
@@ -136,8 +139,8 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """id, size of the set, the sketches in one byte a bin (the long one with the band keys) and the full set of each
-    document (id, text)."""
+    """id, size of the set, the sketches in one byte a bin (the long one with the band keys), 16 bits of each member of a
+    small set (else null) and the full set of each document (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -145,10 +148,12 @@ def full_sets(docs: DataFrame) -> DataFrame:
             sketch = sketches(values, at)
             bands = _bands(sketch).view(np.uint8).reshape(len(sketch), -1)
             short, long = sketch.astype(np.uint8), np.hstack([sketches(values, at, LONG).astype(np.uint8), bands])
-            sets = [values[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch([b.column("id"), pa.array(np.diff(at)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (short, long)), pa.array(sets, pa.binary())], ["id", "size", "sketch", "long", "members"])
+            ends = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            sets, cut = [values[i:j].tobytes() for i, j in ends], values.astype(np.uint16)
+            small = [cut[i:j].tobytes() if j - i <= SMALL else None for i, j in ends]
+            yield pa.record_batch([b.column("id"), pa.array(np.diff(at)), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (short, long)), pa.array(small, pa.binary()), pa.array(sets, pa.binary())], ["id", "size", "sketch", "long", "small", "members"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, size long, sketch binary, long binary, members binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, size long, sketch binary, long binary, small binary, members binary")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -156,7 +161,7 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
+def _forest(ids, sketch, size, label, side, small) -> list[tuple[int, int]]:
     """Prim's maximal spanning forest over the pairs that may be links."""
     n, least = len(ids), candidate(T, 3)
     best, near = agreement(sketch[0], sketch), np.zeros(n, np.int64)
@@ -174,7 +179,7 @@ def _forest(ids, sketch, size, label, side) -> list[tuple[int, int]]:
     return out
 
 
-def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
+def _across(ids, sketch, size, label, side, small) -> list[tuple[int, int]]:
     """Pairs of a stray and a member of the block with different labels that may be links, each in the first of its
     common bands only.
 
@@ -183,6 +188,8 @@ def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
     band, stray, visits = int(side[0]) >> 2, side & 2 > 0, side & 1 > 0
     sketch, bands = sketch[:, :LONG], np.ascontiguousarray(sketch[:, LONG:]).view(np.uint64)
     least, index, out = candidate(LONG, 5), np.arange(len(ids)), []
+    given = np.array([x is not None for x in small])
+    members = [np.frombuffer(x or b"", np.uint16) for x in small]
     for k in np.flatnonzero(stray):
         ok = ~visits & (label != label[k])
         if not visits[k]:
@@ -190,13 +197,20 @@ def _across(ids, sketch, size, label, side) -> list[tuple[int, int]]:
         ok &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
         rest = np.flatnonzero(ok)
         rest = rest[(bands[rest] == bands[k]).argmax(1) == band]
+        exact = rest[given[rest]] if given[k] else rest[:0]
+        rest = rest[~given[rest]] if given[k] else rest
         hit = rest[agreement(sketch[k], sketch[rest]) >= least]
+        if len(exact):
+            mine = np.zeros(1 << 16, np.int64)
+            mine[members[k]] = 1
+            both = np.add.reduceat(mine[np.concatenate([members[j] for j in exact])], np.r_[0, np.cumsum(size[exact])[:-1]])
+            hit = np.r_[hit, exact[100 * both >= PERCENT * (size[exact] + size[k] - both)]]
         out += [(int(ids[k]), int(ids[j])) for j in hit]
     return out
 
 
 def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
-    """Distinct pairs (a < b) that pairs_of makes of each group of rows (key, id, size, label, side, sketch)."""
+    """Distinct pairs (a < b) that pairs_of makes of each group of rows (key, id, size, label, side, sketch, small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -205,11 +219,12 @@ def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
             part = part.combine_chunks()
             key, ids, size, label, side = (part.column(c).to_numpy() for c in ("key", "id", "size", "label", "side"))
             sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            small = part.column("small").to_pylist()
             edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
             found = []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if j - i > 1:
-                    found += pairs_of(ids[i:j], sketch[i:j], size[i:j], label[i:j], side[i:j])
+                    found += pairs_of(ids[i:j], sketch[i:j], size[i:j], label[i:j], side[i:j], small[i:j])
             found = sorted({(min(p), max(p)) for p in found})
             return pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
@@ -227,7 +242,7 @@ def _by_bucket(rows: DataFrame, pairs_of) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    rows = rows.select("key", "id", "size", "label", "side", "sketch").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "id", "size", "label", "side", "sketch", "small").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -308,7 +323,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     wanted = shared.select("id", "first.doc_id", "first.tag").distinct()
     sets = staged(full_sets(docs.join(wanted, ["doc_id", "tag"]).dropDuplicates(["id"])))
     shared = shared.select("id", "band", "key", "blocks", "block")
-    in_block = shared.join(sets.select("id", "size", "sketch"), "id").select(F.xxhash64("key", "block").alias("key"), "id", "size", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch")
+    in_block = shared.join(sets.select("id", "size", "sketch"), "id").select(F.xxhash64("key", "block").alias("key"), "id", "size", F.lit(0).alias("label"), F.lit(0).alias("side"), "sketch", F.lit(None).cast("binary").alias("small"))
     first = staged(_by_bucket(in_block, _forest))
     links = staged(verified(first, sets).unionByName(_same_documents(named)))
     labels = components(links)
@@ -334,7 +349,7 @@ def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     visits = at.where("stray and blocks > 1").withColumn("block", F.explode(others)).withColumn("visits", F.lit(1))
     at = at.withColumn("visits", F.lit(0)).unionByName(visits)
     at = at.select(F.xxhash64("key", "block").alias("key"), "id", "label", (F.col("band") * 4 + F.col("stray").cast("int") * 2 + F.col("visits")).alias("side"))
-    return _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch")), "id"), _across)
+    return _by_bucket(at.join(sets.select("id", "size", F.col("long").alias("sketch"), "small"), "id"), _across)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
