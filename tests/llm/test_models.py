@@ -301,3 +301,17 @@ def test_pipeline_takes_odd_documents(spark, tmp_path):
         spark.createDataFrame([(1, "an item of the benchmark that no document holds")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         got = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
         assert got == ({1, 3, 4, 5} if rows else set())
+
+
+def test_attention_against_plain_loops():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(9, quality_classifier.FEATURES)).astype(np.float32)
+    first = np.array([0, 1, 4, 9])
+    model = quality_classifier.fit(x, first, np.array([0, 1, 1]), epochs=5)
+    p, want = {k: v.astype(float) for k, v in model.weights.items()}, []
+    for a, b in zip(first, first[1:], strict=False):
+        hidden = [np.tanh(((r - model.mean) / model.scale) @ p["w"] + p["b"]) for r in x[a:b].astype(float)]
+        pull = [math.exp(sum(t * g * c for t, g, c in zip(np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"]))), p["a"], strict=True))) for h in hidden]
+        bag = sum(w * h for w, h in zip(pull, hidden, strict=True)) / sum(pull)
+        want.append(1 / (1 + math.exp(-(bag @ p["c"] + p["d"]))))
+    assert model.score(x, first) == pytest.approx(want, rel=1e-4)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from test_dedup import WORD, brute_lines
+from test_dedup import WORD, brute_components, brute_lines, near_copies
 
 
 def test_line_stage_against_brute_force(spark):
@@ -15,3 +15,17 @@ def test_line_stage_against_brute_force(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, df, "").collect()}
     assert got == {d: (t, len(t) if n else -1) for d, (t, n) in brute_lines(docs).items() if not n or WORD.search(t)}
     assert 204 in got and 205 not in got
+
+
+def test_near_and_leak_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"{chr(97 + i)}{rng.randint(0, 99)}" for _ in range(20))) for i in range(5)]
+    docs = list(enumerate(near_copies(rng, 80)))
+    docs = [(d, t + (" " + items[d % 5][1] if d % 4 == 0 else "")) for d, t in docs] + [(200, None), (201, ""), (None, items[0][1].upper())]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
+    near = corpus_pipeline.near_stage(spark, df, "")
+    kept = {d for d, (_, _, stays) in brute_components([x for x in docs if x[0] is not None]).items() if stays} | {None}
+    assert near.columns == df.columns and {r["doc_id"] for r in near.collect()} == kept
+    left = corpus_pipeline.leak_stage(spark, df, str(tmp_path))
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {d for d, t in docs if not any(i in (t or "").lower() for _, i in items)}

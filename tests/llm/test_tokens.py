@@ -122,3 +122,28 @@ def test_packing(spark, library):
             assert crc == zlib.crc32(ids[start : start + length].tobytes()) and (length == 64 or k == 0)
     assert len(docs[202]) == 2 * len({r["piece"] for r in docs[202]})
     assert packing.pack_documents(df.limit(0), VOCABULARY).count() == 0
+
+
+def plain_best_fit(sizes, capacity):
+    """Piece by piece, longest first: the bin with the least weighted norm of what would remain."""
+    limit, weight, bins = np.array([capacity.tokens, capacity.docs, capacity.cost], float), np.array(capacity.weights), []
+    for size in sorted(sizes, reverse=True):
+        need = np.array([size, 1, size * size])
+        fits = [b for b in bins if (b >= need).all()]
+        if fits:
+            least = min(fits, key=lambda b: (((b - need) / limit) ** 2 @ weight))
+            least -= need
+        else:
+            bins.append(np.array([capacity.tokens, capacity.docs, capacity.cost]) - need)
+    return len(bins)
+
+
+@pytest.mark.parametrize("capacity", [Capacity(), Capacity(100, 4, 3000), Capacity(64, 64, 900), Capacity(50, 3, 2500)])
+def test_as_few_bins_as_plain_best_fit(capacity):
+    rng = random.Random(capacity.docs)
+    top = min(capacity.tokens, int(capacity.cost**0.5))
+    for n in (1, 7, 60, 400):
+        sizes = [min(top, int(rng.paretovariate(0.7))) for _ in range(n)]
+        moves = plan_bins(dict(Bag(sizes)), capacity)
+        used = max(first + -(-(hi - lo) // per) for _, lo, hi, first, per, _ in moves)
+        assert abs(used - plain_best_fit(sizes, capacity)) <= max(1, n // 50)
