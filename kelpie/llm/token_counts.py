@@ -12,9 +12,12 @@ change of the emitted-token count:
   changes no result.
 
 A buffer of whole texts is cut into chunks at fixed places, whatever they split. The map of a chunk takes a state to a
-state and a count: its bytes up to the first reset depend on the state that comes in, the rest does not. All chunks run
-side by side, one byte a step; a scan then composes the maps, running every chunk's head from its predecessor's state
-(a chunk without a reset hands its own result on, so a piece longer than a chunk takes a round for each).
+state and a count: its bytes up to the first reset depend on the state that comes in, the rest does not, so the map of a
+chunk with a reset is constant in the state. Chunks without one are mapped at the states that can enter them: the state
+that the chunk before leaves of a piece that starts with it, and the known one at the start of a run of such chunks; equal
+chunks share a map. A parallel prefix scan composes the maps of a run in doubling steps. Where it meets a state outside a
+map, the map is extended by it and the scan repeated, so counts are exact; a text that never forgets its start and never
+repeats takes a round for each chunk at worst.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows each return; an empty table gives no
 rows; other columns are ignored. The strings of special tokens inside texts count as one token, as the library does.
@@ -158,40 +161,131 @@ class Transducer:
             edges = self._find(keys)
         return edges >> 8, (edges & 255) - 128
 
+    def run(self, states: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after and emissions of whole lanes (one a column), each from its own state."""
+        counts = np.zeros(len(states), np.int64)
+        for row in lanes:
+            states, emitted = self.advance(states, row.astype(np.int64))
+            counts += emitted
+        return states, counts
+
+    def through(self, lanes: np.ndarray, heads: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after and counts of chunks without a reset, in runs of neighbours.
+
+        lanes: a chunk a column; heads: where a run starts; entry: the state that enters each run, at its start.
+        """
+        n = len(heads)
+        _, sample, kind = np.unique(np.ascontiguousarray(lanes.T).view(f"V{len(lanes)}").ravel(), return_index=True, return_inverse=True)
+        maps = ChunkMaps()
+
+        def extend(kinds: np.ndarray, states: np.ndarray) -> None:
+            pairs = np.unique(kinds << 32 | states)
+            pairs = pairs[maps.find(pairs >> 32, pairs & 0xFFFFFFFF) < 0]
+            if len(pairs):
+                maps.add(pairs, *self.run(pairs & 0xFFFFFFFF, lanes[:, sample[pairs >> 32]]))
+
+        first = np.flatnonzero(heads)
+        inner = np.flatnonzero(~heads)
+        extend(np.append(kind[first], kind[inner - 1]), np.append(entry, np.zeros(len(inner), np.int64)))
+        # What a chunk does to the state of a piece that starts with it is the guess of what enters the next one.
+        extend(kind[inner], maps.to[maps.find(kind[inner - 1], np.zeros(len(inner), np.int64))])
+        run_of = np.cumsum(heads) - 1
+        while True:
+            after = maps.scan(kind, heads, entry[run_of])
+            state = np.where(heads, entry[run_of], np.append(0, after[:-1]))
+            outside = np.flatnonzero((after < 0) & (state >= 0))
+            if not len(outside):
+                return after, maps.count[maps.find(kind, state)] if n else after
+            extend(kind[outside], state[outside])
 
     def emissions(self, data: np.ndarray, resets: np.ndarray) -> np.ndarray:
-        """Change of the token count at each byte; resets marks the bytes at which a piece starts (the first does)."""
+        """Change of the token count at each byte; resets marks the bytes at which a piece starts (the first does).
+
+        A chunk without a reset has its whole change at its first byte.
+        """
         if len(self.keys) > MAX_STATES:
             self.reset()
         n = -(-len(data) // CHUNK)
         lanes, starts = np.zeros(n * CHUNK, np.uint8), np.zeros(n * CHUNK, bool)
         lanes[: len(data)], starts[: len(data)] = data, resets
+        starts[len(data) :] = True  # padding belongs to no piece
         lanes, starts = (np.ascontiguousarray(x.reshape(n, CHUNK).T) for x in (lanes, starts))
-        out = np.zeros((CHUNK, n), np.int8)
+        out = np.zeros((CHUNK, n), np.int16)
         known, first = starts.any(0), starts.argmax(0)
         tail = np.zeros(n, np.int64)
         # The part of every chunk from its first reset on does not depend on what comes before.
         width = np.where(known, first, CHUNK)
         for i in range(CHUNK):
-            run = slice(None) if i >= width.max() else np.flatnonzero(width <= i)
-            tail[run], out[i, run] = self.advance(np.where(starts[i, run], 0, tail[run]), lanes[i, run].astype(np.int64))
-        # Composition of the chunk maps: heads run from the state that the chunks before hand on.
-        todo = np.flatnonzero(width > 0)
-        while len(todo):
-            is_ready = known[todo - 1]
-            ready = todo[is_ready]
-            state = tail[ready - 1].copy()
-            for i in range(int(width[ready].max())):
-                act = np.flatnonzero(width[ready] > i)
-                lane = ready[act]
-                state[act], out[i, lane] = self.advance(state[act], lanes[i, lane].astype(np.int64))
-            through = ~starts[:, ready].any(0)
-            tail[ready[through]] = state[through]
-            known[ready] = True
-            todo = todo[~is_ready]
+            lane = slice(None) if i >= width.max() else np.flatnonzero(width <= i)
+            tail[lane], out[i, lane] = self.advance(np.where(starts[i, lane], 0, tail[lane]), lanes[i, lane].astype(np.int64))
+        # Maps of chunks with a reset are constant in the state, so the scan runs between them.
+        whole = np.flatnonzero(~known)
+        if len(whole):
+            heads = known[whole - 1]
+            tail[whole], out[0, whole] = self.through(lanes[:, whole], heads, tail[whole[heads] - 1])
+        # What they count depends on the state that the scan hands them, up to their first reset.
+        part = np.flatnonzero(known & (width > 0))
+        state = tail[part - 1].copy()
+        for i in range(int(width[part].max(initial=0))):
+            act = np.flatnonzero(width[part] > i)
+            state[act], out[i, part[act]] = self.advance(state[act], lanes[i, part[act]].astype(np.int64))
         return out.T.reshape(-1)[: len(data)]
 
 
+class ChunkMaps:
+    """State maps of kinds of chunks, each over the states that it was asked for: (kind, state) to (state, count)."""
+
+    def __init__(self):
+        self.pairs, self.to, self.count = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, pairs: np.ndarray, to: np.ndarray, count: np.ndarray) -> None:
+        pairs = np.append(self.pairs, pairs)
+        order = np.argsort(pairs)
+        self.pairs, self.to, self.count = pairs[order], np.append(self.to, to)[order], np.append(self.count, count)[order]
+
+    def find(self, kinds: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The place of each (kind, state), -1 outside the map's states."""
+        return lookup(self.pairs, kinds, states)
+
+    def scan(self, kind: np.ndarray, heads: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The state after each chunk, -1 where a chunk before it or itself isn't mapped at the state that comes in.
+
+        Maps of spans are composed in doubling steps, all chunks side by side, each span from its run's start at last.
+        """
+        n = len(kind)
+        kinds = self.pairs >> 32
+        # A row for each state in the map of each chunk: chunk << 32 | state in, state out.
+        size = np.searchsorted(kinds, kind, "right") - (low := np.searchsorted(kinds, kind, "left"))
+        chunk = np.repeat(np.arange(n), size)
+        at = np.arange(len(chunk)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        keys, to = chunk << 32 | self.pairs[at] & 0xFFFFFFFF, self.to[at]
+        start = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+        span = np.ones(n, np.int64)  # chunks in the span that ends with each chunk
+        while len(more := np.flatnonzero(np.arange(n) - span >= start)):
+            before = more - span[more]
+            # The earlier span's rows, handed on through the later span's map.
+            low, high = np.searchsorted(keys, before << 32), np.searchsorted(keys, (before + 1) << 32)
+            size = high - low
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            owner = np.repeat(more, size)
+            found = lookup(keys, owner, np.maximum(to[at], 0))
+            grown = np.where((to[at] >= 0) & (found >= 0), to[found], -1)
+            stay = ~np.isin(keys >> 32, more)
+            keys, to = np.append(keys[stay], owner << 32 | keys[at] & 0xFFFFFFFF), np.append(to[stay], grown)
+            order = np.argsort(keys)
+            keys, to = keys[order], to[order]
+            span[more] += span[before]
+        found = lookup(keys, np.arange(n), entry)
+        return np.where(found >= 0, to[found], -1)
+
+
+def lookup(keys: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places of high << 32 | low in sorted keys, -1 if absent."""
+    wanted = high << 32 | low
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
+
+
 @lru_cache(1)
 def char_classes() -> np.ndarray:
     """Class of every code point: 0 other, 1 letter, 2 number, 3 white space but the space, 4 the space, 5 apostrophe."""

@@ -40,6 +40,38 @@ def test_counts_are_the_library_s(library, monkeypatch, chunk):
     assert got.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in some]
 
 
+def test_maps_of_chunks_compose_to_the_serial_run(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 64)
+    rng, scans = random.Random(8), []
+    scan = token_counts.ChunkMaps.scan
+    monkeypatch.setattr(token_counts.ChunkMaps, "scan", lambda *a: scans.append(1) or scan(*a))
+    c = token_counts.Counter(VOCABULARY)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000))
+    cases = ["a" * 20_000, "x" + "ab" * 9000, "q" + "abc" * 7000, "tion" * 5000 + " end", "  -" + "-=" * 8000, letters, cjk, "é" * 9001]
+    for text in cases:
+        scans.clear()
+        assert c.counts(*text_buffer(pa.array([text], pa.string())))[0] == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(scans) <= 4  # of some 300 chunks in a run
+    got = c.counts(*text_buffer(pa.array(cases + [None, " "] + cases, pa.string())))
+    assert got.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in cases + [None, " "] + cases]
+    data, starts = np.frombuffer(letters.encode(), np.uint8), np.zeros(len(letters), bool)
+    starts[[0, 500, 501, 900, 15_000]] = True
+    state, total = 0, 0
+    for byte, new in zip(data, starts, strict=True):
+        to, emitted = c.transducer.advance(np.array([0 if new else state]), np.array([int(byte)]))
+        state, total = int(to[0]), total + int(emitted[0])
+    assert c.transducer.emissions(data, starts).sum() == total
+
+
+def test_a_scan_stops_at_states_outside_a_map():
+    maps = token_counts.ChunkMaps()
+    maps.add(np.array([0 << 32 | 5, 0 << 32 | 7, 1 << 32 | 7]), np.array([7, 9, 5]), np.array([1, 2, 3]))
+    kind, heads = np.array([0, 1, 0, 1, 0, 0, 1]), np.array([True, False, False, False, True, False, False])
+    # Run one: 5 -> 7 -> 5 -> 7 -> 5; run two: 5 -> 7 -> 9, which the map of kind 1 does not have.
+    assert maps.scan(kind, heads, np.full(7, 5)).tolist() == [7, 5, 7, 5, 7, 9, -1]
+
+
 def test_a_full_table_starts_anew(library, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     c = token_counts.Counter(VOCABULARY)
