@@ -7,7 +7,8 @@ and an earlier start). Texts are UTF-8 bytes and strings never cross documents.
    of the window's bytes alone, so equal windows have equal anchors. Windows of one anchor occurrence stand in a row.
    Occurrences of anchors that occur once are left out: their windows cannot repeat.
 2. Contexts. For each other occurrence, the bytes of its windows. Equal contexts of one batch become one at once, with
-   the earliest place, so that a hot anchor reaches the shuffle as a few rows from each task.
+   the earliest place, so that a hot anchor reaches the shuffle as a few rows from each task; there they become one as
+   they are read, so a task holds the distinct contexts of an anchor only.
 3. Shards. Contexts are dealt by anchor, in shards of about SHARD_BYTES. Each gets a suffix array by Larsson-Sadakane
    refinement (ranks of 8-byte prefixes, doubled while groups are unsorted), common prefixes by Kasai's scan (all
    contexts side by side), and so its classes of windows equal in LENGTH bytes with their earliest places. Where one
@@ -301,28 +302,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     contexts = docs.join(by_doc, "rid").select("doc_id", "tag", "text", "at").mapInArrow(cut, SPAN).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        best: dict[tuple, tuple] = {}  # earliest place of each distinct context of the anchors at hand
         last, size = None, 0
 
         def out(spans):
             rows = [(*doc, start, stop) for doc, start, stop in spans]
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:5], strict=True)], ["doc_id", "tag", "start", "stop"])
 
+        def shard():
+            return shard_spans([(key, *place, piece) for (key, piece), place in best.items()], length)
+
         for b in batches:
             spans = []
             for key, doc, tag, start, stop, piece in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if key != last and size > SHARD_BYTES:
-                    spans += shard_spans(group, length)
-                    group, size = [], 0
+                    spans += shard()
+                    best, size = {}, 0
                 last = key
                 if piece is None:
                     spans.append(((doc, tag), start, stop))
-                else:
-                    group.append((key, (doc, tag), start, piece))
+                    continue
+                me = ((doc, tag), start)
+                old = best.get((key, piece))
+                if old is None:
+                    best[key, piece] = me
                     size += len(piece)
+                elif me != old:  # the later one is covered as a whole; equal places are a repeated row
+                    best[key, piece], later = min(me, old), max(me, old)
+                    spans.append((*later, later[1] + len(piece)))
             if spans:
                 yield out(spans)
-        if group and (spans := shard_spans(group, length)):
+        if best and (spans := shard()):
             yield out(spans)
 
     spans = contexts.mapInArrow(compare, "doc_id long, tag long, start int, stop int")
