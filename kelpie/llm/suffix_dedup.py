@@ -324,9 +324,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     continue
                 me = ((doc, tag), start)
                 old = best.get((key, piece))
+                size += len(piece)  # copies count, so that shards of few distinct bytes stay small
                 if old is None:
                     best[key, piece] = me
-                    size += len(piece)
                 elif me != old:  # the later one is covered as a whole; equal places are a repeated row
                     best[key, piece], later = min(me, old), max(me, old)
                     spans.append((*later, later[1] + len(piece)))
