@@ -9,7 +9,8 @@ and an earlier start). Texts are UTF-8 bytes and strings never cross documents.
 2. Contexts. For each other occurrence, the bytes of its windows. Equal contexts of one batch become one at once, with
    the earliest place, so that a hot anchor reaches the shuffle as a few rows from each task; there they become one as
    they are read, so a task holds the distinct contexts of an anchor only.
-3. Shards. Contexts are dealt by anchor, in shards of about SHARD_BYTES. Each gets a suffix array by Larsson-Sadakane
+3. Shards. Contexts are dealt by anchor, in shards of about SHARD_BYTES (a context that is alone under its anchor has
+   none to share windows with and takes no place there). Each gets a suffix array by Larsson-Sadakane
    refinement (ranks of 8-byte prefixes, doubled while groups are unsorted), common prefixes by Kasai's scan (all
    contexts side by side), and so its classes of windows equal in LENGTH bytes with their earliest places. Where one
    anchor's contexts fill several shards, these are merged by binary search among their sorted window classes.
@@ -23,6 +24,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +133,11 @@ def suffix_array(text: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.n
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Kasai's scan: symbols that each suffix of order shares with the one before it, at most to the end of either's
     context. The wanted suffixes are the first ones of each context (starts..ends); the scan runs over all contexts side
-    by side, the count falling by one a step while the other suffix's successor is wanted, too."""
+    by side, the count falling by one a step while the other suffix's successor is wanted, too. Eight symbols are compared
+    at once."""
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
     place = np.zeros(len(text) + 1, np.int64)
     place[order] = np.arange(len(order))
     wanted = np.r_[wanted, False]
@@ -151,9 +157,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         grow = np.flatnonzero(count < room)
         while len(grow):
             c = count[grow]
-            grow = grow[text[i[grow] + c] == text[j[grow] + c]]
-            count[grow] += 1
-            grow = grow[count[grow] < room[grow]]
+            differ = eight[i[grow] + c] ^ eight[j[grow] + c]
+            lowest = (differ & (~differ + np.uint64(1))).astype(np.float64)  # a power of two, so its exponent is exact
+            more = np.where(differ == 0, 8, (np.frexp(lowest)[1] - 1) >> 3)
+            c = np.minimum(c + more, room[grow])
+            count[grow] = c
+            grow = grow[(differ == 0) & (c < room[grow])]
         out[r] = count
         shared[:live] = np.where(wanted[j + 1], count, 0)
     return out
@@ -211,16 +220,20 @@ def shard_spans(group: list[tuple], length: int = LENGTH, shard_bytes: int = SHA
 
     A document is anything that sorts in the order of the corpus.
     """
-    spans, seen, contexts, places = [], {}, [], []
+    spans, contexts, places = [], [], []
+    seen: dict[tuple, tuple] = {}  # place of each distinct context
     for key, doc, begin, text in sorted(group, key=lambda r: (r[0], r[1], r[2])):
         if (key, text) in seen:  # earlier as a whole, or the same place of a repeated row
             if seen[key, text] != (doc, begin):
                 spans.append((doc, begin, begin + len(text)))
             continue
         seen[key, text] = (doc, begin)
-        contexts.append(text)
-        places.append((doc, begin))
-    if len(contexts) < 2:
+    distinct = Counter(key for key, _ in seen)
+    for (key, text), place in seen.items():
+        if distinct[key] > 1:  # the windows of one context differ, as they hold its one anchor at different places
+            contexts.append(text)
+            places.append(place)
+    if not contexts:
         return spans
     shards, part, size = [], 0, 0
     for i, c in enumerate(contexts):

@@ -224,6 +224,34 @@ def test_sharded_groups_give_the_same_spans():
     assert bytes_of(whole) and bytes_of(suffix_dedup.shard_spans(group, 20, 200)) == bytes_of(whole)
 
 
+def test_common_prefixes_against_plain_ones():
+    rng = random.Random(17)
+    base = "".join(rng.choices("ab", k=120)).encode()
+    contexts = [base[i : i + rng.randint(9, 60)] + bytes(rng.choices(b"ab", k=rng.randint(0, 3))) for i in (0, 0, 3, 8, 11, 16, 40, 41, 60) for _ in range(4)]
+    wide = b"".join(bytes(x + 1 for x in c) + b"\0" for c in contexts)
+    ends = np.cumsum([len(c) + 1 for c in contexts])
+    starts = ends - [len(c) + 1 for c in contexts]
+    stop, text, wanted = np.repeat(ends, ends - starts), np.frombuffer(wide, np.uint8), np.ones(len(wide), bool)
+    order = suffix_dedup.suffix_array(text, stop, wanted)
+    got = suffix_dedup.common_prefixes(text, order, starts, ends, wanted)
+
+    def shared(i, j):
+        n = 0
+        while n < min(stop[i] - i, stop[j] - j) and wide[i + n] == wide[j + n]:
+            n += 1
+        return n
+
+    suffixes = [wide[i : stop[i]] for i in order]
+    assert suffixes == sorted(suffixes)
+    assert got.tolist() == [0, *(shared(i, j) for j, i in zip(order, order[1:]))]
+
+
+def test_contexts_alone_under_their_anchor_are_left_out():
+    one, two = (bytes(random.Random(n).choices(b"abcdef", k=40)) for n in (1, 2))
+    spans = suffix_dedup.shard_spans([(1, 5, 0, one), (2, 6, 0, two), (2, 7, 9, two[:30]), (3, 8, 0, one)], 20)
+    assert spans == [(7, 9, 39)]  # anchors are functions of the window, so equal windows have one
+
+
 def test_kept_ranges():
     assert suffix_dedup.kept_ranges(10, [(2, 4), (3, 5), (5, 6), (8, 10)]) == ([(0, 2), (6, 8)], 6, 2)
     assert suffix_dedup.kept_ranges(0, []) == ([], 0, 0) and suffix_dedup.kept_ranges(3, []) == ([(0, 3)], 0, 0)
