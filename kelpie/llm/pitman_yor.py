@@ -7,12 +7,17 @@ is uniform over the known words and one event for all words never seen.
 
 Seating. A sweep takes every customer of every dish from its table and seats it anew: at a table with the weight
 size - discount, at a new one with (strength + discount * tables of the restaurant) * probability of the dish in the
-parent. The restaurant's tables and the parent's probabilities are those of the sweep before, so that dishes are seated
-side by side, wherever they are. A dish of more than GROUPS customers moves them in GROUPS groups of equal size.
-The contexts are seated given a parent that has a customer for each different pair; their tables then are the
-parent's customers, which is seated again. Predictive probabilities are averaged over the sweeps after burn-in and give
-perplexity. Discounts come from the counts of counts of each level. Draws are hashes of dish, sweep and customer: any
-executor draws the same ones, whatever the partitioning.
+parent. A context's tables count as they are when a customer chooses; its dishes move a customer each at a time. After
+each sweep of the contexts their tables are the parent's customers, opened and closed ones included, the parent is seated
+with them, and its probabilities hold for the next sweep. The first sweep has a parent with a customer for each different
+pair. In dishes of more than SINGLY customers each leaves with one chance in CROWD, CROWD times a sweep, and those who
+left choose one by one among the tables that stayed. The parent counts its tables after each of its sweeps, and is seated
+from the start after each sweep of the contexts. Predictive probabilities are averaged over the sweeps after burn-in and
+give perplexity. Discounts come from the counts of counts of each level. Draws are hashes of dish, sweep and customer (a
+generator of dish and sweep in large dishes): any executor draws the same ones, whatever the partitioning.
+
+`score_documents` without `joint` is the plainer sampler that op2 had: GROUPS groups a dish, tables counted after each
+sweep, one parent for all sweeps of the contexts.
 
 Data flow. Documents are dealt into parts. A part asks the shards of its contexts about its distinct pairs of words, once
 each, in byte strings; a shard merges what all parts ask, seats its contexts and answers in the order of the question.
@@ -40,8 +45,11 @@ STRENGTH = 1.0
 BURN, KEEP = 2, 2
 #: Of the parent, when it has its first customers and when it has the contexts' tables.
 FIRST_SWEEPS, LAST_SWEEPS = (1, 1), (1, 2)
-#: Groups in which the customers of a dish move.
+#: Groups in which the customers of a dish move, unless they move singly.
 GROUPS = 32
+#: Dishes of more customers than this are crowds, where one in CROWD moves at a time.
+SINGLY = 1024
+CROWD = 64
 #: Text bytes of one part of documents, and of one shard of contexts.
 PART_BYTES = SHARD_BYTES = 16 << 20
 END = np.uint64(0x5EED0FE4D0C5)
@@ -58,41 +66,112 @@ def uniform(seed: np.ndarray, sweep: int, customer: int) -> np.ndarray:
 
 
 class Seating:
-    """Tables of many dishes of n >= 1 customers each, moved by Gibbs sweeps."""
+    """Tables of many dishes of n >= 1 customers each, moved by Gibbs sweeps.
 
-    def __init__(self, n: np.ndarray, seed: np.ndarray, discount: float):
-        self.seed, self.discount, self.done = seed, discount, 0
+    singly: each customer moves on its own, and not one of at most GROUPS groups. context: the restaurants of the dishes,
+    if what one dish does changes the weights of others; the customers j of a restaurant's dishes then move together.
+    """
+
+    def __init__(self, n: np.ndarray, seed: np.ndarray, discount: float, singly: bool = False, context: np.ndarray | None = None):
+        self.n, self.seed, self.discount, self.done = n, seed, discount, 0
         self.tables = np.ones(len(n), np.int64)  # a single customer always has one
-        groups = np.minimum(n, GROUPS)
+        most = SINGLY if singly else GROUPS
+        groups = np.minimum(n, most)
+        self.crowds = np.flatnonzero(n > most) if singly else np.zeros(0, np.int64)
+        if context is not None:
+            self.crowds = self.crowds[np.lexsort((seed[self.crowds], context[self.crowds]))]
+        self.crowd_sizes = [np.zeros(0, np.int64) for _ in self.crowds]
+        groups[self.crowds] = 0
         self.parts = []
         width = 2
-        while width // 2 < GROUPS:
+        while width // 2 < most:
             own = np.flatnonzero((groups > width // 2) & (groups <= width))
-            own = own[np.argsort(-groups[own], kind="stable")]
-            for i in range(0, len(own), 1 << 15):
-                at = own[i : i + (1 << 15)]
-                self.parts.append((at, n[at], groups[at], np.zeros((len(at), width)), np.zeros((len(at), width), np.int64)))
+            at = np.arange(len(own))
+            if context is not None:  # a restaurant is never cut, so that blocks do not matter
+                own = own[np.argsort(context[own], kind="stable")]
+                at = np.searchsorted(context[own], context[own], "left")
+            block = at // max(1, (1 << 20) // max(width, 32))
+            for at in np.split(own, np.flatnonzero(np.diff(block)) + 1):
+                if len(at):
+                    at = at[np.argsort(-groups[at], kind="stable")]
+                    self.parts.append((at, n[at], groups[at], np.zeros((len(at), width)), np.zeros((len(at), width), np.int16)))
             width *= 2
 
-    def sweep(self, opening: np.ndarray) -> np.ndarray:
-        """Tables of each dish after its customers moved; opening: the weight of a new table."""
+    def sweep(self, opening: np.ndarray | Callable, moved: Callable | None = None) -> np.ndarray:
+        """Tables of each dish after its customers moved.
+
+        opening: the weight of a new table, of all dishes, or as it is for some at that time; moved: is told of the
+        dishes whose customers moved and of how many tables they gained.
+        """
+        weight_of = opening if callable(opening) else opening.__getitem__
         for at, n, groups, sizes, seats in self.parts:
+            used = int(np.flatnonzero(np.r_[True, (sizes > 0).any(0)])[-1])
             for j in range(sizes.shape[1]):
                 m = int(np.searchsorted(-groups, -j, "left"))  # dishes with a customer j
-                every, size = np.arange(m), sizes[:m]
+                if not m:
+                    break
+                every, size = np.arange(m), sizes[:m, : used + 1]  # places behind are empty
                 weight = n[:m] // groups[:m] + (j < n[:m] % groups[:m])
+                gained = np.zeros(m, np.int64)
                 if self.done:
                     size[every, seats[:m, j]] -= weight
+                    gained -= size[every, seats[:m, j]] == 0
                 pull = np.where(size > 0, size - self.discount, 0)
-                pull[every, (size == 0).argmax(1)] = opening[at[:m]]  # one place is empty, now that one is up
+                pull[every, (size == 0).argmax(1)] = weight_of(at[:m])  # one place is empty, now that one is up
                 pull = pull.cumsum(1)
                 chosen = (pull <= (uniform(self.seed[at[:m]], self.done, j) * pull[:, -1])[:, None]).sum(1)
                 seats[:m, j] = chosen = np.minimum(chosen, size.shape[1] - 1)
+                used = max(used, int(chosen.max()) + 1)
+                if moved:
+                    moved(at[:m], gained + (size[every, chosen] == 0))
                 size[every, chosen] += weight
             self.tables[at] = (sizes > 0).sum(1)
+        for i, x in enumerate(self.crowds.tolist()):
+            one = self.crowds[i : i + 1]
+            self.crowd_sizes[i] = self._move_crowd(self.crowd_sizes[i], int(self.n[x]), int(self.seed[x]), lambda: float(weight_of(one)[0]), lambda k: moved and moved(one, np.array([k])))  # noqa: B023
+            self.tables[x] = len(self.crowd_sizes[i])
         self.done += 1
         return self.tables
 
+    def _move_crowd(self, sizes: np.ndarray, n: int, seed: int, opening: Callable, moved: Callable) -> np.ndarray:
+        """Each of CROWD times one in CROWD leaves, and everyone who left chooses a table for itself."""
+        draw = np.random.Generator(np.random.Philox(key=np.array([seed, self.done], np.uint64)))
+        left = 0 if self.done else n  # those who are not seated yet come in growing numbers
+        rounds = 0
+        while left or (self.done and rounds < CROWD):
+            before, rounds = len(sizes), rounds + 1
+            if self.done:
+                leave = draw.binomial(sizes, 1 / CROWD)
+                some, sizes = int(leave.sum()), sizes - leave
+                sizes = sizes[sizes > 0]
+            else:
+                some = min(left, max(1, (n - left) // CROWD))
+                left -= some
+            pull = np.r_[sizes - self.discount, opening()]
+            to = draw.multinomial(some, pull / pull.sum())
+            sizes = np.r_[sizes + to[:-1], np.ones(to[-1], np.int64)]
+            moved(len(sizes) - before)
+        return sizes
+
+    def dump(self) -> dict[str, bytes]:
+        """What a later sweep goes on from, if all move singly."""
+        lengths = np.array([self.done, *map(len, self.crowd_sizes)], np.int64)
+        return {"seats": b"".join(x[-1].tobytes() for x in self.parts), "crowds": _planes(np.concatenate([lengths, *self.crowd_sizes]))}
+
+    def load(self, state: dict[str, bytes]) -> None:
+        i, crowds = 0, _unplanes(state["crowds"])
+        self.done, k = int(crowds[0]), len(self.crowds)
+        ends = (k + 1 + np.cumsum(crowds[1 : k + 1])).tolist()
+        self.crowd_sizes = [crowds[a:b] for a, b in zip([k + 1, *ends], ends, strict=False)]
+        self.tables[self.crowds] = crowds[1 : k + 1]
+        for at, _, groups, sizes, seats in self.parts:
+            seats[:] = np.frombuffer(state["seats"], np.int16, seats.size, i).reshape(seats.shape)
+            i += seats.nbytes
+            for j in range(seats.shape[1]):
+                m = int(np.searchsorted(-groups, -j, "left"))
+                sizes[np.arange(m), seats[:m, j]] += 1
+            self.tables[at] = (sizes > 0).sum(1)
+
 
 def discount_of(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95))
@@ -115,11 +194,31 @@ def seat_contexts(context: np.ndarray, n: np.ndarray, seed: np.ndarray, parent:
     return tables, dish_sum, context_sum
 
 
+def move_contexts(context: np.ndarray, n: np.ndarray, seed: np.ndarray, parent: np.ndarray, singles: np.ndarray, discount: float, state: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, dict[str, bytes]]:
+    """One sweep of single customers, each of which meets the tables that its restaurant has at that time.
+
+    Tables of each dish and each context, and what the next sweep goes on from; arguments as in seat_contexts, `state`
+    is what the sweep before left, if there was one.
+    """
+    seating = Seating(n, seed, discount, True, context)
+    total = singles.copy()
+    if "seats" in state:
+        seating.load(state)
+        total += np.bincount(context, seating.tables, len(singles)).astype(np.int64)
+
+    def moved(at: np.ndarray, gained: np.ndarray) -> None:
+        some = np.flatnonzero(gained)
+        np.add.at(total, context[at[some]], gained[some])
+
+    tables = seating.sweep(lambda at: (STRENGTH + discount * total[context[at]]) * parent[at], moved)
+    return tables, total, seating.dump()
+
+
 class Parent:
     """The restaurant of words: its totals, and the tables that each sweep left in all of it."""
 
-    def __init__(self, customers: int, dishes: int, ones: int, twos: int):
-        self.customers, self.dishes, self.discount = customers, dishes, discount_of(ones, twos)
+    def __init__(self, customers: int, dishes: int, ones: int, twos: int, singly: bool = False):
+        self.customers, self.dishes, self.discount, self.singly = customers, dishes, discount_of(ones, twos), singly
         self.totals = [dishes]
 
     def opening(self, sweep: int) -> float:
@@ -127,7 +226,7 @@ class Parent:
 
     def sweeps(self, word: np.ndarray, c: np.ndarray, count: int) -> Iterator[np.ndarray]:
         """Tables of each word after each of the first sweeps."""
-        seating = Seating(c, word, self.discount)
+        seating = Seating(c, word, self.discount, self.singly)
         for s in range(count):
             yield seating.sweep(np.full(len(c), self.opening(s)))
 
@@ -144,16 +243,30 @@ class Parent:
         return sum(self.opening(s) for s in range(len(self.totals) - keep, len(self.totals))) / keep / (STRENGTH + self.customers)
 
 
-def seat_words(counts: DataFrame, burn: int, keep: int, shards: int) -> tuple[Parent, DataFrame]:
+def _many_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and their counts, BLOCK of them or somewhat more at a time: large dishes are moved side by side."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in batches:
+        held.append((b.column("word").to_numpy().view(np.uint64), b.column("c").to_numpy()))
+        size += b.num_rows
+        if size >= BLOCK:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def seat_words(counts: DataFrame, burn: int, keep: int, shards: int, singly: bool = False) -> tuple[Parent, DataFrame]:
     """The parent of stored word counts (word, c >= 1), and shard, word, p. A sweep sends one number to the driver."""
     found = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    parent = Parent(*(int(x or 0) for x in found))
+    parent = Parent(*(int(x or 0) for x in found), singly)
     for _ in range(burn + keep):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
-            for b in batches:
-                for tables in parent.sweeps(b.column("word").to_numpy().view(np.uint64), b.column("c").to_numpy(), len(parent.totals)):
+            for word, c in _many_words(batches):
+                for tables in parent.sweeps(word, c, len(parent.totals)):
                     pass
                 total += int(tables.sum())
             yield pa.record_batch([pa.array([total])], ["t"])
@@ -161,10 +274,11 @@ def seat_words(counts: DataFrame, burn: int, keep: int, shards: int) -> tuple[Pa
         parent.totals.append(int(counts.mapInArrow(run, "t long").agg(F.sum("t")).first()[0] or 0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            word = b.column("word").to_numpy().view(np.uint64)
-            p = parent.probability(word, b.column("c").to_numpy(), keep)
-            yield pa.record_batch([pa.array(shard_of(word, shards).astype(np.int32)), b.column("word"), pa.array(p)], ["shard", "word", "p"])
+        for word, c in _many_words(batches):
+            p = parent.probability(word, c, keep)
+            for i in range(0, len(word), BLOCK >> 4):
+                w = word[i : i + (BLOCK >> 4)]
+                yield pa.record_batch([pa.array(shard_of(w, shards).astype(np.int32)), pa.array(w.view(np.int64)), pa.array(p[i : i + (BLOCK >> 4)])], ["shard", "word", "p"])
 
     return parent, counts.mapInArrow(score, "shard int, word long, p double")
 
@@ -239,14 +353,11 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 ASK = "shard int, part int, contexts binary, sizes binary, followers binary, n binary"
 STATE = "shard int, name string, seq int, data binary, more binary, ones long, twos long, customers long"
+MOVED = {"shard": pa.int32(), "name": pa.string(), "seq": pa.int32(), "data": pa.binary(), "word": pa.int64(), "more": pa.int64()}
+MOVES = "shard int, name string, seq int, data binary, word long, more long"
 CHUNK = 4 << 20
-ANSWER = {"part": pa.int32(), "shard": pa.int32(), "flags": pa.binary(), "n": pa.binary(), "tables": pa.binary(), "totals": pa.binary(), "seen": pa.binary(), "p": pa.binary(), "word": pa.int64(), "more": pa.int64()}
-ANSWERS = "part int, shard int, flags binary, n binary, tables binary, totals binary, seen binary, p binary, word long, more long"
-
-
-def _answer(**columns: pa.Array) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.record_batch([columns.get(c, pa.nulls(size, t)) for c, t in ANSWER.items()], list(ANSWER))
+ANSWER = {"part": pa.int32(), "shard": pa.int32(), "flags": pa.binary(), "n": pa.binary(), "tables": pa.binary(), "totals": pa.binary(), "seen": pa.binary(), "p": pa.binary()}
+ANSWERS = "part int, shard int, flags binary, n binary, tables binary, totals binary, seen binary, p binary"
 
 
 def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -347,64 +458,84 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.full(len(x), shard, np.int32)), pa.array(word[i : i + BLOCK]), pa.array(x >> 1), pa.array((x & 1).astype(bool))], ["shard", "word", "c", "wanted"])
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, bytes], np.ndarray, np.ndarray]]:
-    """Each shard's state and the words that it is given, sorted, with their probabilities."""
+def _by_shard(batches: Iterator[pa.RecordBatch], sets: int = 1) -> Iterator[tuple[int, dict[str, bytes], np.ndarray, np.ndarray]]:
+    """Each shard's state and the words that it is given, sorted, with their probabilities in each set."""
     states: dict[int, dict] = {}
     given: dict[int, list] = {}
     for b in batches:
         shard, name = b.column("shard").to_numpy(), b.column("name")
         at = np.flatnonzero(np.asarray(name.is_null()))
         if len(at):
-            word, p = (b.column(c).take(pa.array(at)).to_numpy() for c in ("word", "p"))
+            word, p, of = (b.column(c).take(pa.array(at)).to_numpy() for c in ("word", "p", "of"))
             for s in np.unique(shard[at]).tolist():
                 mine = shard[at] == s
-                given.setdefault(s, []).append((word[mine], p[mine]))
+                given.setdefault(s, []).append((word[mine], p[mine], of[mine]))
         for i in np.flatnonzero(np.asarray(name.is_valid())).tolist():
             states.setdefault(int(shard[i]), {}).setdefault(name[i].as_py(), []).append((b.column("seq")[i].as_py(), b.column("data")[i].as_py()))
     for s in list(states):
         state = {k: b"".join(x for _, x in sorted(v)) for k, v in states.pop(s).items()}
-        word, p = (np.concatenate(x) for x in zip(*given.pop(s, [(np.zeros(0, np.int64), np.zeros(0))]), strict=True))
-        order = np.argsort(word.view(np.uint64))
-        yield s, state, word.view(np.uint64)[order], p[order]
+        word, p, of = (np.concatenate(x) for x in zip(*given.pop(s, [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]), strict=True))
+        word, k = np.unique(word.view(np.uint64), return_inverse=True)
+        chance = np.zeros((sets, len(word)))
+        chance[of, k] = p
+        yield s, state, word, chance
+
 
+def _seat(discount: float, joint: bool, kept: bool, last: bool) -> Callable:
+    """What a turn leaves of each shard, and the tables of each word beyond one for each context.
+
+    joint: the turn is one sweep that goes on from the last turn, and is kept for the averages or not.
+    """
 
-def _seat(discount: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda **columns: pa.record_batch([columns.get(c, pa.nulls(len(next(iter(columns.values()))), t)) for c, t in MOVED.items()], list(MOVED))
         for shard, state, word, p in _by_shard(batches):
             get = lambda name, kind: np.frombuffer(state[name], kind)  # noqa: B023, E731
             n, of, w = _unplanes(state["dish_n"]), get("dish_of", np.uint32).astype(np.int64), get("dish_word", np.uint64)
             names, singles = get("names", np.uint64), get("singles", np.uint32).astype(np.int64)
-            parent = p[np.searchsorted(word, w)] if len(w) else np.zeros(0)
-            tables, dish_sum, context_sum = seat_contexts(of, n, pair_seed(names[of], w), parent, singles, discount)
+            dishes = of, n, pair_seed(names[of], w), p[0, np.searchsorted(word, w)], singles, discount
+            if joint:
+                tables, totals, left = move_contexts(*dishes, state)
+                left = {} if last else left
+                dish_sum = tables
+            else:
+                left = {}
+                tables, dish_sum, totals = seat_contexts(*dishes)
+            if kept:
+                before = [_unplanes(state.get(x, b"")) for x in ("dish_sum", "totals")]
+                left |= {"dish_sum": _planes(dish_sum + (before[0] if len(before[0]) else 0)), "totals": _planes(np.r_[before[1], totals])}
+            for name, data in left.items():
+                for k, i in enumerate(range(0, max(1, len(data)), CHUNK)):
+                    yield row(shard=pa.array([shard], pa.int32()), name=pa.array([name]), seq=pa.array([k], pa.int32()), data=pa.array([data[i : i + CHUNK]], pa.binary()))
             more, k = np.unique(w, return_inverse=True)
             extra = np.bincount(k, tables - 1, len(more)).astype(np.int64)
             for i in range(0, len(more), BLOCK):
                 some = np.flatnonzero(extra[i : i + BLOCK]) + i
-                yield _answer(word=pa.array(more[some].view(np.int64)), more=pa.array(extra[some]))
-            answer, seen, at, i, j = get("answer", np.uint32), _unplanes(state["seen"]), get("at", np.uint32), 0, 0
-            for part, contexts, pairs in get("shape", np.int64).reshape(-1, 3).tolist():
-                mine, context = answer[j : j + pairs].astype(np.int64), at[i : i + contexts]
-                dish = mine[mine > 1] - 2
-                columns = {"flags": np.minimum(mine, 2).astype(np.uint8).tobytes(), "n": _planes(n[dish]), "tables": _planes(dish_sum[dish]), "totals": _planes(context_sum[context]), "seen": _planes(seen[context])}
-                yield _answer(part=pa.array([part], pa.int32()), shard=pa.array([shard], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()})
-                i, j = i + contexts, j + pairs
+                yield row(word=pa.array(more[some].view(np.int64)), more=pa.array(extra[some]))
 
     return run
 
 
-def _tell(unseen: float) -> Callable:
-    """The parent's probability of every word that a part asked for as a context."""
+def _answer(unseen: list[float]) -> Callable:
+    """What each part asked for: customers and tables of its pairs, and of its contexts the tables of each set of kept
+    sweeps, the customers and the parent's probability as a word in each set (unseen: of a word that it has not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, state, word, p in _by_shard(batches):
-            names, at, i = np.frombuffer(state["names"], np.uint64), np.frombuffer(state["at"], np.uint32), 0
-            own = np.full(len(names), unseen)
+        for shard, state, word, p in _by_shard(batches, len(unseen)):
+            get = lambda name, kind: np.frombuffer(state[name], kind)  # noqa: B023, E731
+            names, answer, at, i, j = get("names", np.uint64), get("answer", np.uint32), get("at", np.uint32), 0, 0
+            n, dish_sum, totals, seen = (_unplanes(state[x]) for x in ("dish_n", "dish_sum", "totals", "seen"))
+            totals = totals.reshape(len(unseen), -1)
+            own = np.repeat(np.array(unseen)[:, None], len(names), 1)
             if len(word):
                 found = np.minimum(np.searchsorted(word, names), len(word) - 1)
-                own = np.where(word[found] == names, p[found], unseen)
-            for part, contexts, _ in np.frombuffer(state["shape"], np.int64).reshape(-1, 3).tolist():
-                yield _answer(part=pa.array([part], pa.int32()), shard=pa.array([shard], pa.int32()), p=pa.array([own[at[i : i + contexts]].tobytes()], pa.binary()))
-                i += contexts
+                own = np.where(word[found] == names, p[:, found], own)
+            for part, contexts, pairs in get("shape", np.int64).reshape(-1, 3).tolist():
+                mine, context = answer[j : j + pairs].astype(np.int64), at[i : i + contexts]
+                dish = mine[mine > 1] - 2
+                columns = np.minimum(mine, 2).astype(np.uint8).tobytes(), _planes(n[dish]), _planes(dish_sum[dish]), _planes(totals[:, context].ravel()), _planes(seen[context]), own[:, context].tobytes()
+                yield pa.record_batch([pa.array([x], t) for x, t in zip((part, shard, *columns), ANSWER.values(), strict=True)], list(ANSWER))
+                i, j = i + contexts, j + pairs
 
     return run
 
@@ -414,8 +545,9 @@ def _tell(unseen: float) -> Callable:
 SCORE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(discount: float, end: float, base_total: float, learned: int) -> Callable:
-    """end: the parent's probability of the end token, which is no context; learned: the documents that train."""
+def _score(discount: float, end: list[float], base_total: float, learned: int) -> Callable:
+    """end: the parent's probabilities of the end token, which is no context; learned: the documents that train."""
+    sets = len(end)  # of KEEP / sets sweeps each
 
     def out(answers: list, part: Part, docs: list) -> Iterator[pa.RecordBatch]:
         pair, inverse = np.unique(part.number(), return_inverse=True)
@@ -426,10 +558,16 @@ def _score(discount: float, end: float, base_total: float, learned: int) -> Call
         n, tables = flags.astype(np.int64), flags * float(KEEP)
         n[flags == 2], tables[flags == 2] = numbers(2), numbers(3)
         asked = np.unique(u)  # in the order of the question; all contexts but the end token
-        top, seen, p = np.zeros(len(part.contexts)), np.zeros(len(part.contexts), np.int64), np.full(len(part.contexts), end)
-        top[asked], seen[asked] = STRENGTH + discount * numbers(4) / KEEP, numbers(5)
-        p[asked] = np.frombuffer(b"".join(joined(6)), float)
-        chance = (n - discount * tables / KEEP + top[u] * p[part.place[w]]) / (STRENGTH + seen[u])
+        seen, top, p = np.zeros(len(part.contexts), np.int64), np.zeros(len(part.contexts)), np.zeros(len(part.contexts))
+        seen[asked] = numbers(5)
+        totals = np.concatenate([_unplanes(x).reshape(sets, -1) for x in joined(4)], 1)
+        own = np.concatenate([np.frombuffer(x, float).reshape(sets, -1) for x in joined(6)], 1)
+        back = np.zeros(len(u))
+        for k in range(sets):
+            p[:] = end[k]
+            top[asked], p[asked] = STRENGTH + discount * totals[k] * sets / KEEP, own[k]
+            back += top[u] * p[part.place[w]] / sets
+        chance = (n - discount * tables / KEEP + back) / (STRENGTH + seen[u])
         score = np.log10(chance)[inverse]
         c = seen[part.place]
         c[part.words == END] = learned
@@ -466,10 +604,11 @@ def _score(discount: float, end: float, base_total: float, learned: int) -> Call
     return run
 
 
-def score_documents(docs: DataFrame, learn_from, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, learn_from, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, joint: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text.
 
-    learn_from: a boolean column, true for the rows that the model learns from.
+    learn_from: a boolean column, true for the rows that the model learns from. joint: contexts and parent are sampled in
+    turn, by single customers; else the contexts are, in groups, given the parent's first customers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn_from, F.lit(True)).alias("learn"))
     size, learned = (x or 0 for x in docs.agg(F.sum(F.octet_length("text")), F.count_if("learn")).first())
@@ -480,29 +619,43 @@ def score_documents(docs: DataFrame, learn_from, part_bytes: int = PART_BYTES, s
     state = staged(asked.repartitionById(shards, "shard").mapInArrow(_merge, STATE))
     ones, twos, train_tokens = (int(x or 0) for x in state.agg(F.sum("ones"), F.sum("twos"), F.sum("customers")).first())
     discount = discount_of(ones, twos)
+    pieces = lambda df, *names: df.where(F.col("name").isin(*names)).select("shard", "name", "seq", "data")
     followers = state.where("name = 'words'").select("shard", "data", "more").mapInArrow(_followers, "shard int, word long, c long, wanted boolean")
     first = staged(followers.groupBy("word").agg(F.sum("c").alias("c")))
-    _, p = seat_words(first, *FIRST_SWEEPS, shards)
-    given = followers.where("wanted").select("shard", "word").join(p.drop("shard"), "word")
-    to_seat = state.where("name <> 'words'").select("shard", "name", "seq", "data").unionByName(given, allowMissingColumns=True)
-    seated = staged(to_seat.repartitionById(shards, "shard").mapInArrow(_seat(discount), ANSWERS))
-    last = staged(first.unionByName(seated.where("part is null").select("word", F.col("more").alias("c"))).groupBy("word").agg(F.sum("c").alias("c")))
-    release(first)
-    parent, p = seat_words(last, *LAST_SWEEPS, shards)
-    p = staged(p)
-    unseen = parent.unseen(LAST_SWEEPS[1])
-    end = p.where(F.col("word") == int(END)).first()
-
-    asks = state.where("name in ('names', 'at', 'shape')").select("shard", "name", "seq", "data").unionByName(p, allowMissingColumns=True)
-    told = asks.repartitionById(shards, "shard").mapInArrow(_tell(unseen), ANSWERS)
-    answers = seated.where("part is not null").unionByName(told).drop("word", "more").withColumn("kind", F.lit(0))
-    whole = answers.unionByName(docs.select("part", "doc_id", "text").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    parent, p = seat_words(first, *FIRST_SWEEPS, shards, joint)
+    counts, moved, sets = None, None, []  # sets: of kept sweeps, the parent and its probabilities
+    turns = BURN + KEEP if joint else 1
+    for turn in range(turns):
+        kept, last = not joint or turn >= BURN, turn == turns - 1
+        given = followers.where("wanted").select("shard", "word").join(p.drop("shard"), "word").withColumn("of", F.lit(0))
+        to_seat = pieces(state, "names", "singles", "dish_of", "dish_word", "dish_n").unionByName(given, allowMissingColumns=True)
+        if moved is not None:
+            to_seat = to_seat.unionByName(pieces(moved, "seats", "crowds", "dish_sum", "totals"), allowMissingColumns=True)
+        now = staged(to_seat.repartitionById(shards, "shard").mapInArrow(_seat(discount, joint, kept, last), MOVES))
+        release(*(x for x in (moved, counts) if x is not None))
+        moved = now
+        counts = staged(first.unionByName(moved.where("name is null").select("word", F.col("more").alias("c"))).groupBy("word").agg(F.sum("c").alias("c")))
+        sweeps = FIRST_SWEEPS if joint else LAST_SWEEPS
+        parent, p = seat_words(counts, *sweeps, shards, joint)
+        if kept:
+            p = staged(p)
+            end = p.where(F.col("word") == int(END)).first()
+            unseen = parent.unseen(sweeps[1])
+            sets.append((p.withColumn("of", F.lit(len(sets))), unseen, end["p"] if end else unseen))
+    release(first, counts)
+
+    asks = pieces(state, "names", "at", "shape", "answer", "dish_n", "seen").unionByName(pieces(moved, "dish_sum", "totals"))
+    for p, _, _ in sets:
+        asks = asks.unionByName(p, allowMissingColumns=True)
+    answers = staged(asks.repartitionById(shards, "shard").mapInArrow(_answer([x for _, x, _ in sets]), ANSWERS))
+    release(state, moved)
+    whole = answers.withColumn("kind", F.lit(0)).unionByName(docs.select("part", "doc_id", "text").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     base_total = float(np.log10(train_tokens + 0.5 * (parent.dishes + 1)))
-    score = _score(discount, end["p"] if end else unseen, base_total, int(learned))
+    score = _score(discount, [x for _, _, x in sets], base_total, int(learned))
     out = whole.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(score, SCORE)
     return out.withColumn("train_tokens", F.lit(train_tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(table(spark, sf_dir, "documents"), training_fold() != 1)
+    out = score_documents(table(spark, sf_dir, "documents"), training_fold() != 1, joint=True)
     return out.select("doc_id", (training_fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -182,6 +182,96 @@ def test_seating():
     assert t[0] == 1 and 1 <= t[1] <= 2 and 1 <= t[2] <= pitman_yor.GROUPS
 
 
+def brute_joint_scores(tokens, learn):
+    """As brute_scores, but every customer moves on its own, restaurants count their tables as they open and close, and
+    the tables of each sweep are the parent's customers in the next one."""
+    pairs, size = collections.Counter(), collections.Counter()
+    for i, t in tokens.items():
+        if learn(i):
+            pairs.update(zip(["", *t], t, strict=False))
+            size.update(["", *t[:-1]])
+    d = pitman_yor.discount_of(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    p = brute_parent(collections.Counter(w for _, w in pairs), *pitman_yor.FIRST_SWEEPS)
+    often = {x: n for x, n in pairs.items() if n > 1}
+    room = Restaurant(often, {(u, w): int(pitman_yor.pair_seed(np.array([hash_of(u)], np.uint64), np.array([hash_of(w)], np.uint64))[0]) for u, w in often}, d)
+    total = collections.Counter(u for u, w in pairs if pairs[u, w] == 1)
+    kept = []
+    for s in range(pitman_yor.BURN + pitman_yor.KEEP):
+        for width in (2**k for k in range(1, 11)):
+            for j in range(width):
+                then = total.copy()
+                for x in [x for x, n in often.items() if width // 2 < n <= width and j < n]:
+                    sizes, where, before = room.sizes[x], room.where[x], room.tables(x)
+                    if s:
+                        sizes[where[j]] -= 1
+                    free = sizes.index(0)
+                    pull = [(1 + d * then[x[0]]) * p(x[1]) if k == free else c - d if c else 0 for k, c in enumerate(sizes)]
+                    left = float(pitman_yor.uniform(np.array([room.seeds[x]], np.uint64), s, j)[0]) * sum(pull)
+                    where[j] = next(k for k, _ in enumerate(pull) if sum(pull[: k + 1]) > left)
+                    sizes[where[j]] += 1
+                    total[x[0]] += room.tables(x) - before
+        tables = {x: room.tables(x) if x in often else 1 for x in pairs}
+        sent = collections.Counter()
+        for x, t in tables.items():
+            sent[x[1]] += t
+        p = brute_parent(sent, *pitman_yor.FIRST_SWEEPS)
+        if s >= pitman_yor.BURN:
+            kept.append((tables, total.copy(), p))
+    one = lambda u, w, tables, total, p: (pairs[u, w] - d * tables.get((u, w), 0) + (1 + d * total[u]) * p(w)) / (1 + size[u])
+    chance = lambda u, w: sum(one(u, w, *x) for x in kept) / len(kept)
+    return {i: sum(math.log10(chance(u, w)) for u, w in zip(["", *t], t, strict=False)) for i, t in tokens.items()}
+
+
+def test_joint_scores_against_brute_force(spark, tmp_path, monkeypatch):
+    docs = corpus(90) + [(2000, "en0 en1 " * 40), (2001, "Tail " + "y" * 300), (2002, "tail " + "y" * 300)]
+    tokens = {d: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for d, t in docs}
+    df = spark.createDataFrame(docs, DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    query = {r["doc_id"]: r["score"] for r in pitman_yor.op2_pitman_yor(spark, str(tmp_path)).collect()}
+    parts = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(df, training_fold() != 1, 2000, 900, joint=True).collect()}
+    monkeypatch.setattr(pitman_yor, "GROUPS", 1024)
+    want = brute_joint_scores(tokens, lambda d: zlib.crc32(str(d).encode()) % 5 != 1)
+    assert query == pytest.approx(want, rel=1e-9) and parts == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("singly", [20, 1024])
+def test_seating_of_many_customers(monkeypatch, singly):
+    """Tables of dishes of 100 customers that move singly, as rows or as crowds, against their distribution."""
+    monkeypatch.setattr(pitman_yor, "SINGLY", singly)
+    n, d, a = 100, 0.5, 12.0
+    ways = np.array([1.0])  # of i customers at t tables, times a**t, scaled
+    for i in range(n):
+        t = np.arange(i + 2)
+        stay = np.r_[ways * np.maximum(i - t[:-1] * d, 0), 0.0]
+        ways = (stay + np.r_[0.0, ways * a]) / (i + a)
+    want = (ways * np.arange(n + 1)).sum() / ways.sum()
+    seating = pitman_yor.Seating(np.full(40, n), mix(np.arange(40, dtype=np.uint64)), d, singly=True)
+    means = [seating.sweep(np.full(40, a)).mean() for _ in range(50)]
+    assert want > 15 and np.mean(means[20:]) == pytest.approx(want, rel=0.03)
+
+
+def test_turns_go_on_from_the_last_one(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SINGLY", 40)
+    rng = np.random.default_rng(1)
+    context, n = rng.integers(0, 5, 400), rng.integers(2, 90, 400)
+    seed, parent, singles = mix(np.arange(400, dtype=np.uint64)), rng.random(400) / 50, np.arange(5) * 3
+    state, order = {}, rng.permutation(400)
+    other = {}
+    whole = pitman_yor.Seating(n, seed, 0.5, True, context)
+    total = singles.copy()
+
+    def moved(at, gained):
+        np.add.at(total, context[at], gained)
+
+    for _ in range(3):
+        tables, totals, state = pitman_yor.move_contexts(context, n, seed, parent, singles, 0.5, state)
+        shuffled, _, other = pitman_yor.move_contexts(context[order], n[order], seed[order], parent[order], singles, 0.5, other)
+        assert totals.tolist() == (singles + np.bincount(context, tables)).tolist()
+        assert tables.tolist() == whole.sweep(lambda at: (1 + 0.5 * total[context[at]]) * parent[at], moved).tolist()
+        assert total.tolist() == totals.tolist() and shuffled.tolist() == tables[order].tolist()
+    assert (tables <= n).all() and tables[n > 40].max() > 5
+
+
 # ---- classifier
 
 
