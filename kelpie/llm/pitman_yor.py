@@ -145,7 +145,7 @@ class Seating:
                 some, sizes = int(leave.sum()), sizes - leave
                 sizes = sizes[sizes > 0]
             else:
-                some = min(left, max(1, (n - left) // CROWD))
+                some = min(left, max(1, (n - left) // 8))
                 left -= some
             pull = np.r_[sizes - self.discount, opening()]
             to = draw.multinomial(some, pull / pull.sum())
