@@ -50,6 +50,10 @@ GROUPS = 32
 #: Dishes of more customers than this are crowds, where one in CROWD moves at a time.
 SINGLY = 1024
 CROWD = 64
+#: Crowds up to this size move side by side, customer by customer; larger ones one after another, by counts of their tables.
+THRONG = 1 << 15
+#: Places of a dish that are summed up, where dishes have many tables.
+LANE = 32
 #: Text bytes of one part of documents, and of one shard of contexts.
 PART_BYTES = SHARD_BYTES = 16 << 20
 END = np.uint64(0x5EED0FE4D0C5)
@@ -65,6 +69,12 @@ def uniform(seed: np.ndarray, sweep: int, customer: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) / 2**53
 
 
+def _uniforms(seed: np.ndarray, sweep: int, series: int, customer: np.ndarray) -> np.ndarray:
+    """As uniform, for several series of customers."""
+    key = customer.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return uniform(seed + key, sweep, series << 32)
+
+
 class Seating:
     """Tables of many dishes of n >= 1 customers each, moved by Gibbs sweeps.
 
@@ -104,35 +114,113 @@ class Seating:
         dishes whose customers moved and of how many tables they gained.
         """
         weight_of = opening if callable(opening) else opening.__getitem__
+        told = moved or (lambda at, gained: None)
         for at, n, groups, sizes, seats in self.parts:
-            used = int(np.flatnonzero(np.r_[True, (sizes > 0).any(0)])[-1])
-            for j in range(sizes.shape[1]):
-                m = int(np.searchsorted(-groups, -j, "left"))  # dishes with a customer j
-                if not m:
-                    break
-                every, size = np.arange(m), sizes[:m, : used + 1]  # places behind are empty
-                weight = n[:m] // groups[:m] + (j < n[:m] % groups[:m])
-                gained = np.zeros(m, np.int64)
-                if self.done:
-                    size[every, seats[:m, j]] -= weight
-                    gained -= size[every, seats[:m, j]] == 0
-                pull = np.where(size > 0, size - self.discount, 0)
-                pull[every, (size == 0).argmax(1)] = weight_of(at[:m])  # one place is empty, now that one is up
-                pull = pull.cumsum(1)
-                chosen = (pull <= (uniform(self.seed[at[:m]], self.done, j) * pull[:, -1])[:, None]).sum(1)
-                seats[:m, j] = chosen = np.minimum(chosen, size.shape[1] - 1)
-                used = max(used, int(chosen.max()) + 1)
-                if moved:
-                    moved(at[:m], gained + (size[every, chosen] == 0))
-                size[every, chosen] += weight
+            self._move_rows(at, n, groups, sizes, seats, weight_of, moved)
             self.tables[at] = (sizes > 0).sum(1)
-        for i, x in enumerate(self.crowds.tolist()):
+        small = self.n[self.crowds] <= THRONG
+        if small.any():
+            self._move_throng(np.flatnonzero(small), weight_of, told)
+        for i in np.flatnonzero(~small).tolist():
             one = self.crowds[i : i + 1]
-            self.crowd_sizes[i] = self._move_crowd(self.crowd_sizes[i], int(self.n[x]), int(self.seed[x]), lambda: float(weight_of(one)[0]), lambda k: moved and moved(one, np.array([k])))  # noqa: B023
-            self.tables[x] = len(self.crowd_sizes[i])
+            self.crowd_sizes[i] = self._move_crowd(self.crowd_sizes[i], int(self.n[one[0]]), int(self.seed[one[0]]), lambda: float(weight_of(one)[0]), lambda k: told(one, np.array([k])))  # noqa: B023
+        self.tables[self.crowds] = [len(x) for x in self.crowd_sizes]
         self.done += 1
         return self.tables
 
+    def _move_rows(self, at: np.ndarray, n: np.ndarray, groups: np.ndarray, sizes: np.ndarray, seats: np.ndarray, weight_of: Callable, moved: Callable | None) -> None:
+        """The customers j of all dishes, one j after another. A dish has a row of places; a new table takes the first empty one."""
+        (rows, width), d, seed = sizes.shape, self.discount, self.seed[at]
+        base, most = np.arange(rows) * width, int(np.flatnonzero(np.r_[True, (sizes > 0).any(0)])[-1])
+        pull = np.where(sizes > 0, sizes - d, 0.0)  # kept up to date, as is the first empty place
+        free = _first_empty(sizes)
+        size_of, pull_of = sizes.reshape(-1), pull.reshape(-1)
+        single, lanes = bool((n == groups).all()), None
+        for j, m in enumerate(np.searchsorted(-groups, -np.arange(width), "left").tolist()):  # m dishes with a customer j
+            if not m:
+                break
+            weight = 1 if single else n[:m] // groups[:m] + (j < n[:m] % groups[:m])
+            if lanes is None and most >= 2 * LANE:
+                lanes = _Lanes(sizes, d)
+            start, empty, seat = base[:m], free[:m], seats[:m, j]
+            if self.done:
+                place = start + seat
+                size = size_of[place] - weight
+                closed = size == 0
+                size_of[place], pull_of[place] = size, np.where(closed, 0.0, size - d)
+                np.minimum(empty, seat, out=empty, where=closed)
+                if lanes:
+                    lanes.add(place, -weight, -closed.astype(np.int64))
+            new = weight_of(at[:m])
+            spot = start + empty  # one place is empty, now that one is up
+            pull_of[spot] = new
+            draw, wide = uniform(seed[:m], self.done, j), min(most + 1, width)  # places behind are empty
+            if lanes:
+                chosen = lanes.choose(pull, start, spot, new, draw, wide)
+            else:
+                sums = pull[:m, :wide].cumsum(1)
+                chosen = np.minimum((sums <= (draw * sums[:, -1])[:, None]).sum(1), wide - 1)
+            pull_of[spot] = 0.0
+            seat[:] = chosen
+            place = start + chosen
+            size = size_of[place]
+            opened = size == 0
+            size = size + weight
+            size_of[place], pull_of[place] = size, size - d
+            if lanes:
+                lanes.add(place, weight, opened.astype(np.int64))
+            most = max(most, int(chosen.max()) + 1)
+            some = np.flatnonzero(opened)
+            if len(some):
+                free[some] = _first_empty(sizes[some, : min(most + 1, width)])
+            if moved:
+                moved(at[:m], opened.astype(np.int64) - closed if self.done else opened.astype(np.int64))
+
+    def _move_throng(self, which: np.ndarray, weight_of: Callable, moved: Callable) -> None:
+        """As _move_crowd, for many crowds side by side: everyone draws for itself whether it leaves and where it sits."""
+        at, number = self.crowds[which], np.arange(len(which))
+        n, seed, count = self.n[at], self.seed[at], lambda of: np.bincount(of, minlength=len(which))
+        sizes = np.concatenate([self.crowd_sizes[i] for i in which.tolist()])
+        of = np.repeat(number, [len(self.crowd_sizes[i]) for i in which.tolist()])
+        left, rounds = np.zeros(len(n), np.int64) if self.done else n.copy(), 0
+        tries = (n / CROWD + 8 * np.sqrt(n / CROWD) + 16).astype(np.int64)
+        trier, attempt = np.repeat(number, tries), _within(tries)
+        grain = 1 << 24  # weights of tables are whole numbers of grains, whose sums are the same wherever a dish is
+        while rounds < CROWD if self.done else left.any():
+            if self.done:  # from one who leaves to the next
+                gap = 1 + (np.log1p(-_uniforms(seed[trier], self.done, 2 * rounds, attempt)) / np.log1p(-1 / CROWD)).astype(np.int64)
+                to = gap.cumsum()
+                to -= np.r_[0, to[tries.cumsum()[:-1] - 1]][trier]
+                leaves = to <= n[trier]
+                some = count(trier[leaves])
+                ends = sizes.cumsum()
+                sizes = sizes - np.bincount(np.searchsorted(ends, (n.cumsum() - n)[trier[leaves]] + to[leaves], "left"), minlength=len(sizes))
+                stay = sizes > 0
+                moved(at, -count(of[~stay]))
+                sizes, of = sizes[stay], of[stay]
+            else:  # those who are not seated yet come in growing numbers
+                some = np.minimum(left, np.maximum(1, (n - left) // 8))
+                left -= some
+            tables, new = count(of), weight_of(at)
+            rest = n - left - some - self.discount * tables
+            who = np.repeat(number, some)
+            x = _uniforms(seed[who], self.done, 2 * rounds + 1, _within(some)) * (rest + new)[who] - new[who]
+            opens = (x < 0) | (tables[who] == 0)
+            joins, x = who[~opens], x[~opens]
+            ends = np.r_[0, (sizes * grain - round(self.discount * grain)).cumsum()]
+            edge = ends[np.r_[0, tables.cumsum()]]
+            whole = np.diff(edge)
+            target = edge[joins] + np.minimum((x / rest[joins] * whole[joins]).astype(np.int64), whole[joins] - 1)
+            sizes = sizes + np.bincount(np.searchsorted(ends[1:], target, "right"), minlength=len(sizes))
+            own = who[opens]
+            of = np.r_[of, own]
+            order = np.argsort(of, kind="stable")
+            sizes, of = np.r_[sizes, np.ones(len(own), np.int64)][order], of[order]
+            moved(at, count(own))
+            rounds += 1
+        for i, x in zip(which.tolist(), np.split(sizes, count(of).cumsum()[:-1]), strict=True):
+            self.crowd_sizes[i] = x
+
     def _move_crowd(self, sizes: np.ndarray, n: int, seed: int, opening: Callable, moved: Callable) -> np.ndarray:
         """Each of CROWD times one in CROWD leaves, and everyone who left chooses a table for itself."""
         draw = np.random.Generator(np.random.Philox(key=np.array([seed, self.done], np.uint64)))
@@ -154,7 +242,7 @@ class Seating:
         return sizes
 
     def dump(self) -> dict[str, bytes]:
-        """What a later sweep goes on from, if all move singly."""
+        """What a later sweep goes on from."""
         lengths = np.array([self.done, *map(len, self.crowd_sizes)], np.int64)
         return {"seats": b"".join(x[-1].tobytes() for x in self.parts), "crowds": _planes(np.concatenate([lengths, *self.crowd_sizes]))}
 
@@ -164,15 +252,56 @@ class Seating:
         ends = (k + 1 + np.cumsum(crowds[1 : k + 1])).tolist()
         self.crowd_sizes = [crowds[a:b] for a, b in zip([k + 1, *ends], ends, strict=False)]
         self.tables[self.crowds] = crowds[1 : k + 1]
-        for at, _, groups, sizes, seats in self.parts:
+        for at, n, groups, sizes, seats in self.parts:
             seats[:] = np.frombuffer(state["seats"], np.int16, seats.size, i).reshape(seats.shape)
             i += seats.nbytes
-            for j in range(seats.shape[1]):
-                m = int(np.searchsorted(-groups, -j, "left"))
-                sizes[np.arange(m), seats[:m, j]] += 1
+            j = np.arange(seats.shape[1])
+            row, j = np.nonzero(j < groups[:, None])
+            weight = n[row] // groups[row] + (j < n[row] % groups[row])
+            sizes[:] = np.bincount(row * seats.shape[1] + seats[row, j], weight, sizes.size).reshape(sizes.shape)
             self.tables[at] = (sizes > 0).sum(1)
 
 
+class _Lanes:
+    """Sums of LANE places each, so that a choice looks at the sums of a dish and then at the places of one lane."""
+
+    def __init__(self, sizes: np.ndarray, discount: float):
+        shape = len(sizes), -1, LANE
+        self.discount, self.count = discount, sizes.shape[1] // LANE
+        self.customers, self.tables = sizes.reshape(shape).sum(2).reshape(-1), (sizes > 0).reshape(shape).sum(2).reshape(-1)
+        self.sums = self.customers - discount * self.tables
+
+    def add(self, place: np.ndarray, customers: np.ndarray | int, tables: np.ndarray | int) -> None:
+        lane = place // LANE
+        self.customers[lane] += customers
+        self.tables[lane] += tables
+        self.sums[lane] = self.customers[lane] - self.discount * self.tables[lane]
+
+    def choose(self, pull: np.ndarray, start: np.ndarray, spot: np.ndarray, new: np.ndarray, draw: np.ndarray, wide: int) -> np.ndarray:
+        """spot: the place of a new table in each row, of weight new, which `pull` has already."""
+        every, lanes = np.arange(len(start)), -(-wide // LANE)
+        self.sums[spot // LANE] += new
+        sums = self.sums.reshape(-1, self.count)[: len(start), :lanes].cumsum(1)
+        self.add(spot, 0, 0)
+        x = draw * sums[:, -1]
+        lane = np.minimum((sums <= x[:, None]).sum(1), lanes - 1)
+        x -= np.where(lane > 0, sums[every, lane - 1], 0.0)
+        inside = pull.reshape(-1, LANE)[start // LANE + lane].cumsum(1)
+        return lane * LANE + np.minimum((inside <= x[:, None]).sum(1), LANE - 1)
+
+
+def _first_empty(sizes: np.ndarray) -> np.ndarray:
+    """Of each row; the width if there is none."""
+    empty = sizes == 0
+    first = empty.argmax(1)
+    return np.where(empty[np.arange(len(first)), first], first, sizes.shape[1])
+
+
+def _within(count: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each."""
+    return np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
+
+
 def discount_of(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95))
 
@@ -224,20 +353,17 @@ class Parent:
     def opening(self, sweep: int) -> float:
         return (STRENGTH + self.discount * self.totals[sweep]) / (self.dishes + 1)
 
-    def sweeps(self, word: np.ndarray, c: np.ndarray, count: int) -> Iterator[np.ndarray]:
-        """Tables of each word after each of the first sweeps."""
+    def sweep(self, word: np.ndarray, c: np.ndarray, state: dict[str, bytes]) -> tuple[np.ndarray, dict[str, bytes]]:
+        """Tables of each word after the sweep that is next, and what the one after it goes on from."""
         seating = Seating(c, word, self.discount, self.singly)
-        for s in range(count):
-            yield seating.sweep(np.full(len(c), self.opening(s)))
-
-    def probability(self, word: np.ndarray, c: np.ndarray, keep: int) -> np.ndarray:
-        """Averaged over the last `keep` sweeps."""
-        out = np.zeros(len(c))
-        last = len(self.totals) - 1
-        for s, tables in enumerate(self.sweeps(word, c, last)):
-            if s >= last - keep:
-                out += (c - self.discount * tables + self.opening(s + 1)) / (STRENGTH + self.customers)
-        return out / keep
+        if state:
+            seating.load(state)
+        tables = seating.sweep(np.full(len(c), self.opening(len(self.totals) - 1)))
+        return tables, seating.dump()
+
+    def probability(self, c: np.ndarray, tables: np.ndarray, keep: int) -> np.ndarray:
+        """Averaged over the last `keep` sweeps, which had so many tables of each word in all."""
+        return (c - self.discount * tables / keep) / (STRENGTH + self.customers) + self.unseen(keep)
 
     def unseen(self, keep: int) -> float:
         return sum(self.opening(s) for s in range(len(self.totals) - keep, len(self.totals))) / keep / (STRENGTH + self.customers)
@@ -249,7 +375,7 @@ def _many_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
     size = 0
     for b in batches:
         held.append((b.column("word").to_numpy().view(np.uint64), b.column("c").to_numpy()))
-        size += b.num_rows
+        size += b.num_rows + int(np.minimum(held[-1][1], SINGLY).sum()) // 16  # their seats are kept
         if size >= BLOCK:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
@@ -257,30 +383,51 @@ def _many_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+SEATED = {"word": pa.binary(), "c": pa.binary(), "kept": pa.binary(), "seats": pa.binary(), "crowds": pa.binary(), "total": pa.int64()}
+SEATS = "word binary, c binary, kept binary, seats binary, crowds binary, total long"
+
+
+def _seated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, bytes]]]:
+    """Blocks of words with their counts, the sums of their tables in the kept sweeps, and their seats."""
+    for b in batches:
+        for i in range(b.num_rows):
+            word, c, kept, seats, crowds = (b.column(x)[i].as_py() for x in ("word", "c", "kept", "seats", "crowds"))
+            yield np.frombuffer(word, np.uint64), _unplanes(c), _unplanes(kept), {"seats": seats, "crowds": crowds}
+
+
 def seat_words(counts: DataFrame, burn: int, keep: int, shards: int, singly: bool = False) -> tuple[Parent, DataFrame]:
-    """The parent of stored word counts (word, c >= 1), and shard, word, p. A sweep sends one number to the driver."""
+    """The parent of stored word counts (word, c >= 1), and shard, word, p, to be released. A sweep sends one number to the driver."""
     found = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     parent = Parent(*(int(x or 0) for x in found), singly)
-    for _ in range(burn + keep):
+    seated = None
+    for s in range(burn + keep):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = 0
-            for word, c in _many_words(batches):
-                for tables in parent.sweeps(word, c, len(parent.totals)):
-                    pass
-                total += int(tables.sum())
-            yield pa.record_batch([pa.array([total])], ["t"])
-
-        parent.totals.append(int(counts.mapInArrow(run, "t long").agg(F.sum("t")).first()[0] or 0))
+            blocks = _seated(batches) if s else ((w, c, np.zeros(len(w), np.int64), {}) for w, c in _many_words(batches))  # noqa: B023
+            for word, c, kept, state in blocks:
+                tables, left = parent.sweep(word, c, state)
+                if s >= burn:  # noqa: B023
+                    kept = kept + tables
+                if s == burn + keep - 1:  # noqa: B023
+                    left = {"seats": b"", "crowds": b""}
+                columns = word.tobytes(), _planes(c), _planes(kept), left["seats"], left["crowds"], int(tables.sum())
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(columns, SEATED.values(), strict=True)], list(SEATED))
+
+        before, seated = seated, staged((counts if seated is None else seated).mapInArrow(run, SEATS))
+        if before is not None:
+            release(before)
+        parent.totals.append(int(seated.agg(F.sum("total")).first()[0] or 0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, c in _many_words(batches):
-            p = parent.probability(word, c, keep)
+        for word, c, kept, _ in _seated(batches):
+            p = parent.probability(c, kept, keep)
             for i in range(0, len(word), BLOCK >> 4):
                 w = word[i : i + (BLOCK >> 4)]
                 yield pa.record_batch([pa.array(shard_of(w, shards).astype(np.int32)), pa.array(w.view(np.int64)), pa.array(p[i : i + (BLOCK >> 4)])], ["shard", "word", "p"])
 
-    return parent, counts.mapInArrow(score, "shard int, word long, p double")
+    out = seated.mapInArrow(score, "shard int, word long, p double")
+    out._stored_at = seated._stored_at
+    return parent, out
 
 
 # ---- tokens and counts
@@ -632,13 +779,14 @@ def score_documents(docs: DataFrame, learn_from, part_bytes: int = PART_BYTES, s
         if moved is not None:
             to_seat = to_seat.unionByName(pieces(moved, "seats", "crowds", "dish_sum", "totals"), allowMissingColumns=True)
         now = staged(to_seat.repartitionById(shards, "shard").mapInArrow(_seat(discount, joint, kept, last), MOVES))
-        release(*(x for x in (moved, counts) if x is not None))
+        release(*(x for x in (moved, counts, p if not sets else None) if x is not None))  # kept ones answer later
         moved = now
         counts = staged(first.unionByName(moved.where("name is null").select("word", F.col("more").alias("c"))).groupBy("word").agg(F.sum("c").alias("c")))
         sweeps = FIRST_SWEEPS if joint else LAST_SWEEPS
         parent, p = seat_words(counts, *sweeps, shards, joint)
         if kept:
-            p = staged(p)
+            seated, p = p, staged(p)
+            release(seated)
             end = p.where(F.col("word") == int(END)).first()
             unseen = parent.unseen(sweeps[1])
             sets.append((p.withColumn("of", F.lit(len(sets))), unseen, end["p"] if end else unseen))

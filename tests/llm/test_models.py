@@ -272,6 +272,89 @@ def test_turns_go_on_from_the_last_one(monkeypatch):
     assert (tables <= n).all() and tables[n > 40].max() > 5
 
 
+def test_crowds_move_side_by_side():
+    """The rounds of a sweep do not grow with the number of large dishes."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(1025, 4000, 300)
+    seating = pitman_yor.Seating(n, mix(np.arange(300, dtype=np.uint64)), 0.6, True)
+    asked, gained = [], np.zeros(300, np.int64)
+
+    def opening(at):
+        asked.append(len(at))
+        return np.full(len(at), 9.0)
+
+    first = seating.sweep(opening, lambda at, k: np.add.at(gained, at, k)).copy()
+    assert max(asked) == 300 and gained.tolist() == first.tolist()
+    asked.clear()
+    tables = seating.sweep(opening, lambda at, k: np.add.at(gained, at, k))
+    assert len(asked) == pitman_yor.CROWD and gained.tolist() == tables.tolist()
+    assert [int(x.sum()) for x in seating.crowd_sizes] == n.tolist() and all((x > 0).all() for x in seating.crowd_sizes)
+    alone = pitman_yor.Seating(n[5:6], seating.seed[5:6], 0.6, True)
+    for _ in range(2):
+        alone.sweep(np.array([9.0]))
+    assert alone.crowd_sizes[0].tolist() == seating.crowd_sizes[5].tolist()
+
+
+def test_crowds_of_a_restaurant(monkeypatch):
+    """Crowds whose new tables raise each other's weights, against the same dishes whose customers move singly."""
+    context, n = np.repeat(np.arange(40), 6), np.tile([40, 60, 80, 100, 120, 140], 40)
+    seed, means = mix(np.arange(240, dtype=np.uint64)), []
+    for singly in (1024, 20):
+        monkeypatch.setattr(pitman_yor, "SINGLY", singly)
+        seating, total = pitman_yor.Seating(n, seed, 0.5, True, context), np.zeros(40, np.int64)
+        assert len(seating.crowds) == (240 if singly == 20 else 0)
+        runs = [seating.sweep(lambda at: (1 + 0.5 * total[context[at]]) * 0.12, lambda at, k: np.add.at(total, context[at], k)).sum() for _ in range(80)]  # noqa: B023
+        assert total.sum() == runs[-1]
+        means.append(np.mean(runs[40:]) / 240)
+    assert 4 < means[0] and means[1] == pytest.approx(means[0], rel=0.1)
+
+
+def test_large_crowds_as_small_ones(monkeypatch):
+    """Both ways to move a crowd lead to the same number of tables."""
+    monkeypatch.setattr(pitman_yor, "SINGLY", 20)
+    means = []
+    for throng in (0, 1 << 15):
+        monkeypatch.setattr(pitman_yor, "THRONG", throng)
+        seating = pitman_yor.Seating(np.full(40, 100), mix(np.arange(40, dtype=np.uint64)), 0.5, True)
+        means.append(np.mean([seating.sweep(np.full(40, 12.0)).mean() for _ in range(40)][20:]))
+    assert means[0] > 15 and means[1] == pytest.approx(means[0], rel=0.03)
+
+
+def test_lanes_choose_as_plain_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, seed = rng.integers(129, 1025, 80), mix(np.arange(80, dtype=np.uint64))
+    found = []
+    for lane in (32, 1024):  # 1024: never used
+        monkeypatch.setattr(pitman_yor, "LANE", lane)
+        seating = pitman_yor.Seating(n, seed, 0.7, True)
+        found.append([seating.sweep(np.full(80, 30.0)).tolist() for _ in range(3)] + [seating.dump()])
+    assert found[0] == found[1] and max(found[0][2]) > 64
+
+
+@pytest.mark.parametrize("singly", [False, True])
+def test_parent_goes_on_from_its_last_sweep(monkeypatch, singly):
+    monkeypatch.setattr(pitman_yor, "SINGLY", 100)
+    c, word = np.array([1, 2, 3, 30, 33, 70, 99, 300]), mix(np.arange(8, dtype=np.uint64))
+    parent, whole, state = pitman_yor.Parent(int(c.sum()), 8, 1, 1, singly), pitman_yor.Seating(c, word, pitman_yor.discount_of(1, 1), singly), {}
+    for s in range(4):
+        want = whole.sweep(np.full(8, parent.opening(s))).tolist()
+        tables, state = parent.sweep(word, c, state)
+        assert tables.tolist() == want
+        parent.totals.append(int(tables.sum()))
+
+
+def test_parent_of_stored_counts(spark, tmp_path):
+    """Every sweep starts from what the one before it left, and the averages are those of the plain version."""
+    rng = random.Random(9)
+    counts = {f"w{i}": rng.choice([1, 1, 2, 5, 40, 200]) for i in range(60)}
+    spark.createDataFrame([(hash_of(w) - (hash_of(w) >> 63 << 64), n) for w, n in counts.items()], "word long, c long").repartition(3).write.parquet(f"{tmp_path}/counts")
+    parent, p = pitman_yor.seat_words(spark.read.parquet(f"{tmp_path}/counts"), 1, 2, 4)
+    got = {r["word"] % 2**64: r["p"] for r in p.collect()}
+    want = brute_parent(counts, 1, 2)
+    assert got == pytest.approx({hash_of(w): want(w) for w in counts}, rel=1e-9) and parent.unseen(2) == pytest.approx(want("never seen"), rel=1e-9)
+    assert sum(got.values()) + parent.unseen(2) == pytest.approx(1) and len(parent.totals) == 4
+
+
 # ---- classifier
 
 
