@@ -11,17 +11,20 @@ parent. A context's tables count as they are when a customer chooses; its dishes
 each sweep of the contexts their tables are the parent's customers, opened and closed ones included, the parent is seated
 with them, and its probabilities hold for the next sweep. The first sweep has a parent with a customer for each different
 pair. In dishes of more than SINGLY customers each leaves with one chance in CROWD, CROWD times a sweep, and those who
-left choose one by one among the tables that stayed. The parent counts its tables after each of its sweeps, and is seated
-from the start after each sweep of the contexts. Predictive probabilities are averaged over the sweeps after burn-in and
-give perplexity. Discounts come from the counts of counts of each level. Draws are hashes of dish, sweep and customer (a
-generator of dish and sweep in large dishes): any executor draws the same ones, whatever the partitioning.
+left choose each for itself among the tables that stayed. Up to THRONG customers such dishes do so side by side, those of
+one restaurant too, which counts the tables that closed before the choice and those that opened after it; larger dishes
+move one after another. The parent counts its tables after each of its sweeps, and is seated from the start after each
+sweep of the contexts. Predictive probabilities are averaged over the sweeps after burn-in and give perplexity. Discounts
+come from the counts of counts of each level. Draws are hashes of dish, sweep and customer (a generator of dish and sweep
+above THRONG): any executor draws the same ones, whatever the partitioning.
 
 `score_documents` without `joint` is the plainer sampler that op2 had: GROUPS groups a dish, tables counted after each
 sweep, one parent for all sweeps of the contexts.
 
 Data flow. Documents are dealt into parts. A part asks the shards of its contexts about its distinct pairs of words, once
 each, in byte strings; a shard merges what all parts ask, seats its contexts and answers in the order of the question.
-Most pairs occur once: they have one table whatever the draws, so shards seat repeated pairs only. Nothing that grows
+Most pairs occur once: they have one table whatever the draws, so shards seat repeated pairs only. Shards and blocks of
+the parent's words store their seats between sweeps, so that no sweep is made twice. Nothing that grows
 with the vocabulary is broadcast or sent to the driver. The distinct followers of one context have to fit into one task,
 their occurrences do not.
 
